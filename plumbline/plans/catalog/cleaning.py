@@ -143,7 +143,7 @@ def tokenize_query(spark, folder):
     )
 
 
-KEPT_SQL = f"list_filter({TOKENS_SQL.format('text')}, t -> t NOT IN ({STOP_SQL}))"
+KEPT_SQL = f"list_filter({TOKENS_SQL.format('text')}, lambda t: t NOT IN ({STOP_SQL}))"
 
 
 @query(
@@ -161,7 +161,7 @@ def remove_stopwords_query(spark, folder):
 @query(
     "ngrams",
     f"""WITH k AS (SELECT doc_id, {KEPT_SQL} AS t FROM documents),
-      g AS (SELECT doc_id, list_concat(t, list_transform(range(1, len(t)), i -> t[i] || ' ' || t[i + 1])) AS g FROM k)
+      g AS (SELECT doc_id, list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS g FROM k)
       SELECT doc_id, CAST(len(g) AS INT) AS n_terms, sha1(array_to_string(g, '|')) AS digest FROM g""",
 )
 def ngrams_query(spark, folder):
