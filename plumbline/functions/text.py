@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -96,18 +97,24 @@ def drop_stop_words(toks: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     return F.filter(toks, lambda t: ~t.isin(stop_words)) if stop_words else toks
 
 
-def ngrams(toks: Column, low: int = 1, high: int = 2) -> Column:
-    """All n-grams with ``low <= n <= high``, words joined by one space.
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and hand it on as a lambda variable.
 
-    A run of n words is cut by ``slice`` at every start; arrays shorter than n
-    give no run.
+    Without it, an expression used inside another lambda runs once per element.
     """
+    return F.transform(F.array(value), use)[0]
+
+
+def ngrams(toks: Column, low: int = 1, high: int = 2) -> Column:
+    """All n-grams with ``low <= n <= high``, words joined by one space."""
 
-    def runs(n: int) -> Column:
+    def runs(words: Column, n: int) -> Column:
         if n == 1:
-            return toks
-        starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - (n - 1)))
-        cut = F.transform(starts, lambda i: F.array_join(F.slice(toks, i, n), " "))
+            return words
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n))
+        cut = F.transform(
+            starts, lambda i: F.concat_ws(" ", *[F.get(words, i + F.lit(k)) for k in range(n)])
+        )
         return F.coalesce(cut, F.array().cast("array<string>"))
 
-    return F.concat(*[runs(n) for n in range(low, high + 1)])
+    return _bind(toks, lambda words: F.concat(*[runs(words, n) for n in range(low, high + 1)]))
