@@ -68,37 +68,31 @@ def burst_peak(
     Keys without any time get 0.
     """
     width = int(window_days * DAY_MICROS) + 1
-    events = df.select(F.col(key), epoch_micros(time_col).alias("t"))
-    merged = events.groupBy(key, "t").agg(F.count("t").alias("n"))
-    steps = merged.where(F.col("t").isNotNull()).select(
-        key,
-        F.inline(
-            F.array(
-                F.struct(F.col("t").alias("at"), F.col("n").alias("d")),
-                F.struct((F.col("t") + width).alias("at"), (-F.col("n")).alias("d")),
-            )
-        ),
+    merged = (
+        df.select(F.col(key), epoch_micros(time_col).alias("t"))
+        .groupBy(key, "t")
+        .agg(F.count("t").alias("n"))
     )
-    changes = (
-        steps.groupBy(key, F.floor(F.col("at") / _BUCKET_MICROS).alias("b"), "at")
-        .agg(F.sum("d").alias("d"))
-    )
-    inside = W.partitionBy(key, "b").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+
+    def step(at: Column, d: Column) -> Column:
+        return F.struct(F.floor(at / _BUCKET_MICROS).alias("b"), at.alias("at"), d.alias("d"))
+
+    dated = F.array(step(F.col("t"), F.col("n")), step(F.col("t") + width, -F.col("n")))
+    undated = F.array(step(F.lit(0).cast("long"), F.lit(0).cast("long")))
+    steps = merged.select(key, F.inline(F.when(F.col("t").isNull(), undated).otherwise(dated)))
+    # At equal times the departures come first: they lie outside the closed window.
+    inside = W.partitionBy(key, "b").orderBy("at", "d").rowsBetween(W.unboundedPreceding, 0)
     summaries = (
-        changes.withColumn("run", F.sum("d").over(inside))
+        steps.withColumn("run", F.sum("d").over(inside))
         .groupBy(key, "b")
         .agg(F.sum("d").alias("total"), F.max("run").alias("top"))
     )
     before = W.partitionBy(key).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
     carried = F.coalesce(F.sum("total").over(before), F.lit(0))
-    peaks = (
+    return (
         summaries.withColumn("top", F.col("top") + carried)
         .groupBy(key)
-        .agg(F.max("top").alias(out))
-    )
-    keys = merged.groupBy(key).agg(F.sum("n").alias("__n_events"))
-    return keys.join(peaks, key, "left").select(
-        key, F.coalesce(out, F.lit(0)).cast("long").alias(out)
+        .agg(F.greatest(F.max("top"), F.lit(0)).cast("long").alias(out))
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, CountVectorizerModel, ElementwiseProduct, Normalizer
@@ -121,8 +123,11 @@ def svd_embed(
     unit = Normalizer(p=2.0, inputCol="raw", outputCol="w")
     vectors = unit.transform(scaler.transform(counter.transform(listed))).select("w")
     rank = max(2, min(components, len(names) - 1, df.count() - 1))
-    svd = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "w")).computeSVD(rank)
-    loadings = svd.V.toArray()
+    # The factorisation passes over the rows many times, so they are kept at hand.
+    rows = MLUtils.convertVectorColumnsFromML(vectors, "w").persist(StorageLevel.MEMORY_AND_DISK)
+    svd = RowMatrix(rows).computeSVD(rank)
+    rows.unpersist()
+    loadings = np.array(svd.V.toArray())
     rank = loadings.shape[1]
     for i in range(rank):
         if abs(loadings[:, i].min()) > abs(loadings[:, i].max()):

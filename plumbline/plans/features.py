@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.sentiment import sentiment, small_lexicon
@@ -16,9 +18,11 @@ from plumbline.operators.behavior import (
     votes_zscore,
 )
 from plumbline.operators.graph import communities, product_degree, project_products
+from plumbline.operators.matrix import scaling
 from plumbline.operators.near_duplicates import BLOCK_ROWS, max_sibling_similarity
 from plumbline.operators.skew import HOT_ROWS, join_per_key
 from plumbline.schema import TEXT_COLUMNS
+from plumbline.session import written_table
 
 # Feature defaults.
 WINDOW_DAYS = 7.0
@@ -76,11 +80,6 @@ def build_feature_table(
     )
 
 
-def zscore(value: Column, mean: Column, deviation: Column) -> Column:
-    """0 where there is no spread."""
-    return F.coalesce((value - mean) / F.nullif(deviation, F.lit(0.0)), F.lit(0.0))
-
-
 def product_signals(df: DataFrame, window_days: float = WINDOW_DAYS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per product: counts, ratios, burst peak and mean similarity."""
     stats = df.groupBy("product_id").agg(
@@ -126,23 +125,20 @@ def suspicious_products(
         "near": F.coalesce("mean_near_dup", F.lit(0.0)),
         "degree": F.col("shared_reviewer_degree").cast("double"),
     }
-    marked = table.withColumns({f"__{k}": v for k, v in parts.items()})
-    moments = marked.agg(
-        F.struct(
-            F.count(F.lit(1)).alias("n"),
-            F.count("__unverified").alias("n_unverified"),
-            *[F.avg(f"__{k}").alias(f"m_{k}") for k in parts],
-            *[F.stddev_pop(f"__{k}").alias(f"s_{k}") for k in parts],
-        )
-    ).scalar()
-    # Products without any flag take the mean ratio: it adds rows at the mean, so
-    # the mean stays and the deviation shrinks by the share of filled rows.
-    shrink = {"unverified": F.sqrt(moments["n_unverified"] / moments["n"])}
+    # One row per product is stored, so that its moments and the final ranking do
+    # not run the work above twice.
+    marked = written_table(table.withColumns({f"__{k}": v for k, v in parts.items()}), "signals")
+    fitted = scaling(marked, [f"__{k}" for k in parts])
+    # Products without any flag take the mean ratio: rows added at the mean leave
+    # it alone and shrink the deviation by the share of rows filled.
+    n, n_flagged = marked.agg(F.count(F.lit(1)), F.count("__unverified")).first()
+    shrink = {"__unverified": math.sqrt(n_flagged / n) if n else 1.0}
     score = F.lit(0.0)
-    for k in parts:
-        deviation = moments[f"s_{k}"] * shrink.get(k, F.lit(1.0))
-        score = score + zscore(F.col(f"__{k}"), moments[f"m_{k}"], deviation)
-    return marked.withColumn("suspicion_score", score).drop(*[f"__{k}" for k in parts])
+    for name, (mean, deviation) in fitted.items():
+        if deviation:
+            value = (F.col(name) - mean) / (deviation * shrink.get(name, 1.0))
+            score = score + F.coalesce(value, F.lit(0.0))
+    return marked.withColumn("suspicion_score", score).drop(*fitted)
 
 
 def ranked(table: DataFrame, n: int | None = None) -> DataFrame:

@@ -11,8 +11,22 @@ from plumbline.schema import REVIEW_SCHEMA
 EVENT_STARS = {"error": 1, "view": 2, "click": 3, "signup": 4, "purchase": 5}
 
 
+# The tables whose rows grow with the data and are worth spreading when small.
+LARGE = ["documents", "pages", "lineitem", "events"]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a part of a table whose files split into too few tasks.
+
+    A table of many files already has enough tasks and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in LARGE else df
 
 
 def _typed(df: DataFrame, columns: dict[str, Column], *extras: Column) -> DataFrame:
