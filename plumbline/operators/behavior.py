@@ -45,7 +45,6 @@ def product_stats(df: DataFrame) -> DataFrame:
 def vote_stats(df: DataFrame) -> DataFrame:
     votes = F.col("helpful_votes").cast("double")
     return df.groupBy("product_id").agg(
-        F.count(F.lit(1)).alias("__n_votes"),
         F.avg(votes).alias("__votes_mean"),
         F.stddev_samp(votes).alias("__votes_std"),
     )
@@ -96,16 +95,16 @@ def burst_peak(
     )
 
 
-def _attach(df, stats, key, count_col=None, hot_rows=HOT_ROWS, spread_by="review_id"):
-    return join_per_key(df, stats, [key], spread_by, count_col=count_col, hot_rows=hot_rows)
+def _attach(df: DataFrame, stats: DataFrame, key: str, hot_rows: int) -> DataFrame:
+    return join_per_key(df, stats, [key], "review_id", hot_rows=hot_rows)
 
 
 def add_reviewer_features(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    return _attach(df, reviewer_stats(df), "reviewer_id", "reviewer_review_count", hot_rows)
+    return _attach(df, reviewer_stats(df), "reviewer_id", hot_rows)
 
 
 def add_product_features(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    return _attach(df, product_stats(df), "product_id", "product_review_count", hot_rows)
+    return _attach(df, product_stats(df), "product_id", hot_rows)
 
 
 def add_burst_features(
@@ -114,7 +113,7 @@ def add_burst_features(
     """The peak of its reviewer and of its product on every row, dated or not."""
     out = df
     for key, name in (("reviewer_id", "reviewer_burst_max"), ("product_id", "product_burst_max")):
-        out = _attach(out, burst_peak(df, key, window_days, out=name), key, None, hot_rows)
+        out = _attach(out, burst_peak(df, key, window_days, out=name), key, hot_rows)
     return out
 
 
@@ -131,10 +130,10 @@ def votes_zscore() -> Column:
 def add_helpful_ratio(
     df: DataFrame, smoothing: float = 1.0, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    joined = _attach(df, vote_stats(df), "product_id", "__n_votes", hot_rows)
+    joined = _attach(df, vote_stats(df), "product_id", hot_rows)
     return joined.withColumns(
         {"helpful_ratio": helpful_ratio(smoothing), "helpful_votes_pz": votes_zscore()}
-    ).drop("__n_votes", "__votes_mean", "__votes_std")
+    ).drop("__votes_mean", "__votes_std")
 
 
 def cap_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:

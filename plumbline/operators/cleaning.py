@@ -84,7 +84,7 @@ def flag_exact_duplicates(
         keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__copies")).where(F.col("__copies") > 1)
     )
     joined = join_per_key(
-        keyed, repeated, keys, spread_by, count_col="__copies", hot_rows=hot_rows
+        keyed, repeated, keys, spread_by, counts=repeated, hot_rows=hot_rows
     )
     flag = F.col("__copies").isNotNull()
     return joined.withColumn("is_exact_duplicate", flag).drop(*keys, "__copies")

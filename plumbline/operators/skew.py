@@ -29,19 +29,19 @@ def join_per_key(
     keys: list[str],
     spread_by: Column | str,
     how: str = "left",
-    count_col: str | None = None,
+    counts: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join ``rows`` to a table with at most one row per key.
 
-    ``count_col`` names the column of ``per_key`` that holds the number of rows
-    of the key, where it is known; otherwise it is counted. ``spread_by`` is a
-    column that differs between the rows of one key.
+    Rows per key are counted on the key columns alone, or taken from ``counts``
+    (the keys and one column of upper bounds; keys that cannot be hot may be
+    missing). ``spread_by`` is a column that differs between the rows of one key.
     """
-    if count_col is None:
+    if counts is None:
         counts, n = row_counts(rows, keys), F.col(_N)
     else:
-        counts, n = per_key, F.col(count_col)
+        n = F.col(next(c for c in counts.columns if c not in keys))
     hot = F.broadcast(
         counts.where(n > hot_rows).select(*keys, F.ceil(n / hot_rows).cast("int").alias(_SPLITS))
     )

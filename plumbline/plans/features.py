@@ -20,7 +20,7 @@ from plumbline.operators.behavior import (
 from plumbline.operators.graph import communities, product_degree, project_products
 from plumbline.operators.matrix import scaling
 from plumbline.operators.near_duplicates import BLOCK_ROWS, max_sibling_similarity
-from plumbline.operators.skew import HOT_ROWS, join_per_key
+from plumbline.operators.skew import HOT_ROWS, join_per_key, row_counts
 from plumbline.schema import TEXT_COLUMNS
 from plumbline.session import written_table
 
@@ -49,7 +49,7 @@ def build_feature_table(
     """
     lexicon = lexicon if lexicon is not None else small_lexicon(df.sparkSession)
     texts = [c for c in TEXT_COLUMNS if c in df.columns]
-    narrow = df.drop(*texts)
+    rows = df.drop(*texts)
 
     of_reviewer = reviewer_stats(df).join(
         burst_peak(df, "reviewer_id", window_days, out="reviewer_burst_max"), "reviewer_id"
@@ -59,17 +59,12 @@ def build_feature_table(
         .join(burst_peak(df, "product_id", window_days, out="product_burst_max"), "product_id")
         .join(vote_stats(df), "product_id")
     )
-    rows = join_per_key(
-        narrow, of_reviewer, ["reviewer_id"], "review_id",
-        count_col="reviewer_review_count", hot_rows=hot_rows,
-    )
-    rows = join_per_key(
-        rows, of_product, ["product_id"], "review_id",
-        count_col="product_review_count", hot_rows=hot_rows,
-    )
+    for key, stats in (("reviewer_id", of_reviewer), ("product_id", of_product)):
+        counts = row_counts(df, [key])
+        rows = join_per_key(rows, stats, [key], "review_id", counts=counts, hot_rows=hot_rows)
     rows = rows.withColumns(
         {"helpful_ratio": helpful_ratio(smoothing), "helpful_votes_pz": votes_zscore()}
-    ).drop("__n_votes", "__votes_mean", "__votes_std")
+    ).drop("__votes_mean", "__votes_std")
     similar = max_sibling_similarity(df, block_rows=block_rows, hot_rows=hot_rows)
     styled = df.select("review_id", *texts, *[c.alias(n) for n, c in text_stats("review_text").items()])
     return (

@@ -11,8 +11,8 @@ from plumbline.schema import REVIEW_SCHEMA
 EVENT_STARS = {"error": 1, "view": 2, "click": 3, "signup": 4, "purchase": 5}
 
 
-# The tables whose rows grow with the data and are worth spreading when small.
-LARGE = ["documents", "pages", "lineitem", "events"]
+# Tables of long texts, where every row is worth a core.
+LARGE = ["documents", "pages"]
 
 
 def spread(df: DataFrame) -> DataFrame:
