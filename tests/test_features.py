@@ -1,0 +1,165 @@
+import math
+import random
+
+import numpy as np
+import pytest
+from conftest import by_id
+from pyspark.sql import functions as F
+
+from plumbline.functions.sentiment import add_sentiment
+from plumbline.operators.behavior import (
+    add_burst_features,
+    add_helpful_ratio,
+    add_product_features,
+    add_reviewer_features,
+    burst_peak,
+)
+from plumbline.operators.matrix import design_matrix, matrix_columns
+from plumbline.operators.near_duplicates import add_near_duplicate_features, max_sibling_similarity
+from plumbline.operators.ordering import hash_positions, quantiles
+from plumbline.operators.sampling import sample_rows, stratified_split
+from plumbline.operators.vectors import tfidf
+from plumbline.plans.features import build_feature_table
+
+
+def test_sentiment_signs(cleaned):
+    scores = by_id(add_sentiment(cleaned), "sentiment_compound")
+    assert scores["r4"] > 0 > scores["r5"]
+
+
+def test_sentiment_rules(spark):
+    texts = {
+        "plain": "it is good", "boosted": "it is very good", "negated": "it is not good",
+        "loud": "it is GOOD", "marked": "it is good!!!", "none": "it is", "empty": "",
+    }
+    df = spark.createDataFrame(list(texts.items()), "review_id string, review_text string")
+    got = {r["review_id"]: r for r in add_sentiment(df).collect()}
+    compound = {k: r["sentiment_compound"] for k, r in got.items()}
+    assert compound["negated"] < 0 < compound["plain"] < compound["boosted"]
+    assert compound["loud"] > compound["plain"] and compound["marked"] > compound["plain"]
+    assert compound["plain"] == round(2 / math.sqrt(4 + 15), 4)
+    assert got["none"]["sentiment_neu"] == 1.0 and got["empty"]["sentiment_neu"] == 0.0
+
+
+def test_reviewer_and_product_features(cleaned):
+    people = {r["review_id"]: r for r in add_reviewer_features(cleaned).collect()}
+    assert (people["r1"]["reviewer_review_count"], people["r1"]["reviewer_product_count"]) == (2, 2)
+    assert people["r1"]["reviewer_category_breadth"] == 2 and people["r4"]["reviewer_category_breadth"] == 1
+    things = {r["review_id"]: r for r in add_product_features(cleaned).collect()}
+    assert things["r1"]["product_review_count"] == 4 and things["r4"]["product_review_count"] == 3
+    assert things["r1"]["product_verified_ratio"] == 0.25
+    assert things["r6"]["product_rating_skew"] == 0.0 and things["r6"]["product_rating_std"] == 0.0
+
+
+def test_bursts(cleaned):
+    out = add_burst_features(cleaned)
+    assert by_id(out, "product_burst_max")["r1"] == 4
+    assert by_id(out, "reviewer_burst_max")["r1"] == 2
+    assert by_id(add_burst_features(cleaned, hot_rows=1), "product_burst_max") == by_id(out, "product_burst_max")
+
+
+def test_burst_window_is_closed_and_skips_missing_times(spark):
+    rows = [("a", 0), ("a", 7 * 86400), ("b", 0), ("b", 7 * 86400 + 1), ("c", None), ("d", 5), ("d", 5), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, s long").withColumn("review_date", F.timestamp_seconds("s"))
+    assert by_id(burst_peak(df, "k"), "burst_max", "k") == {"a": 2, "b": 1, "c": 0, "d": 2}
+
+
+def test_burst_against_brute_force(spark):
+    rng = random.Random(5)
+    times = {k: [rng.randrange(0, 40 * 86400) for _ in range(60)] for k in "xyz"}
+    rows = [(k, s) for k, ts in times.items() for s in ts]
+    df = spark.createDataFrame(rows, "k string, s long").withColumn("review_date", F.timestamp_seconds("s"))
+    week = 7 * 86400
+    expected = {k: max(sum(t - week <= u <= t for u in ts) for t in ts) for k, ts in times.items()}
+    assert by_id(burst_peak(df, "k"), "burst_max", "k") == expected
+
+
+def test_helpful_ratio(cleaned):
+    out = by_id(add_helpful_ratio(cleaned), "helpful_ratio")
+    assert out["r4"] == pytest.approx(4 / 6) and out["r1"] is None
+
+
+def test_near_duplicates(cleaned):
+    out = add_near_duplicate_features(cleaned)
+    sims, flags = by_id(out, "max_intra_product_similarity"), by_id(out, "is_near_duplicate")
+    assert sims["r1"] >= 0.99 and flags["r1"] and not flags["r3"]
+    assert sims["r4"] == 1.0 and sims["r8"] == 1.0 and sims["r6"] == 0.0
+
+
+def brute_force(groups):
+    """Reference answer with dense vectors, for a few short texts."""
+    best = {}
+    for texts in groups.values():
+        terms = sorted({t for _, text in texts for t in text.split()})
+        counts = np.array([[text.split().count(t) for t in terms] for _, text in texts], float)
+        idf = np.log((1 + len(texts)) / (1 + (counts > 0).sum(0))) + 1
+        rows = counts * idf
+        norms = np.linalg.norm(rows, axis=1, keepdims=True)
+        sims = (rows / norms) @ (rows / norms).T
+        np.fill_diagonal(sims, 0)
+        best.update({rid: sims[i].max() for i, (rid, _) in enumerate(texts)})
+    return best
+
+
+@pytest.mark.parametrize("block_rows, hot_rows", [(1024, 10**6), (4, 10**6), (3, 5)])
+def test_near_duplicates_in_blocks_and_with_hot_groups(spark, block_rows, hot_rows):
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(25)]
+    groups = {"big": 40, "mid": 9, "one": 1}
+    texts, n = {}, 0
+    for g, size in groups.items():
+        texts[g] = []
+        for _ in range(size):
+            copy = texts[g] and rng.random() < 0.2
+            text = rng.choice(texts[g])[1] if copy else " ".join(rng.choices(words, k=6))
+            texts[g].append((f"t{n}", text))
+            n += 1
+    rows = [(rid, g, text) for g, items in texts.items() for rid, text in items]
+    df = spark.createDataFrame(rows, "review_id string, product_id string, review_text string")
+    got = by_id(
+        max_sibling_similarity(df, block_rows=block_rows, hot_rows=hot_rows), "max_intra_product_similarity"
+    )
+    expected = brute_force({g: t for g, t in texts.items() if len(t) > 1})
+    for rid, _, _ in rows:
+        assert got[rid] == pytest.approx(expected.get(rid, 0.0), abs=1e-9)
+
+
+def test_feature_table_and_matrix(cleaned):
+    table = build_feature_table(cleaned).cache()
+    assert table.count() == 8
+    columns = matrix_columns(table)
+    assert len(columns) >= 15 and "product_verified_ratio" not in columns
+    matrix = design_matrix(table, ["review_id"])
+    assert matrix.na.drop().count() == 8
+    again = build_feature_table(cleaned, hot_rows=1, block_rows=2)
+    assert by_id(again, "max_intra_product_similarity") == pytest.approx(
+        by_id(table, "max_intra_product_similarity")
+    )
+    assert by_id(again, "product_rating_skew") == by_id(table, "product_rating_skew")
+
+
+def test_tfidf_rows_have_length_one(cleaned):
+    weights = tfidf(cleaned, min_df=1, max_df=1.0)
+    lengths = weights.groupBy("review_id").agg(F.sum(F.col("weight") ** 2).alias("l")).collect()
+    assert all(r["l"] == pytest.approx(1.0) for r in lengths)
+
+
+def test_quantiles_match_numpy(spark):
+    rng = random.Random(1)
+    values = [round(rng.gauss(0, 10), 2) for _ in range(501)] + [0.0, 0.0]
+    df = spark.createDataFrame([("a", v) for v in values], "g string, v double")
+    row = quantiles(df, ["g"], "v", {"q1": 0.25, "q2": 0.5, "q9": 0.9}).first()
+    assert [row["q1"], row["q2"], row["q9"]] == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.9])))
+
+
+def test_samples_and_splits(spark):
+    df = spark.range(1000).select(F.col("id").cast("string"), (F.col("id") % 10 == 0).cast("int").alias("y"))
+    first = {r["id"] for r in sample_rows(df, "id", 100, 7).collect()}
+    assert len(first) == 100
+    assert first == {r["id"] for r in sample_rows(df.repartition(7), "id", 100, 7).collect()}
+    counts = stratified_split(df, "id", "y").groupBy("y", "part").count().collect()
+    assert {(r["y"], r["part"]): r["count"] for r in counts} == {
+        (0, "test"): 180, (0, "train"): 720, (1, "test"): 20, (1, "train"): 80,
+    }
+    places = sorted(r["position"] for r in hash_positions(df, "id", 7, []).collect())
+    assert places == list(range(1, 1001))
