@@ -32,7 +32,7 @@ def join_per_key(
     counts: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Join ``rows`` to a table with at most one row per key.
+    """Join ``rows`` to a table with one row, or a few, per key.
 
     Rows per key are counted on the key columns alone, or taken from ``counts``
     (the keys and one column of upper bounds; keys that cannot be hot may be

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import STOP_WORDS, drop_stop_words, ngrams, tokens
+from plumbline.operators.skew import join_per_key
 
 
 def term_counts(
@@ -65,7 +66,8 @@ def bag_of_words(
 ) -> DataFrame:
     counts = term_counts(df, id_col, text_col, low, high, stop_words)
     kept = vocabulary(counts, document_count(df), min_df)
-    return counts.join(kept.select("term"), "term").select(id_col, "term", "tf")
+    joined = join_per_key(counts, kept, ["term"], id_col, how="inner", counts=kept)
+    return joined.select(id_col, "term", "tf")
 
 
 def tfidf(
@@ -81,16 +83,19 @@ def tfidf(
 ) -> DataFrame:
     """(id, term, weight): tf * (ln((1+n)/(1+df)) + 1), each document of length 1.
 
-    The vocabulary is broadcast only when ``max_features`` bounds it.
+    The vocabulary is broadcast only when ``max_features`` bounds it; otherwise
+    terms of very many documents are salted.
     """
     n_docs = document_count(df)
     counts = term_counts(df, id_col, text_col, low, high, stop_words)
     kept = vocabulary(counts, n_docs, min_df, max_df, max_features)
     idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
-    kept = kept.select("term", idf.alias("idf"))
+    weighted = kept.select("term", idf.alias("idf"))
     if max_features:
-        kept = F.broadcast(kept)
-    raw = counts.join(kept, "term").withColumn("w", F.col("tf") * F.col("idf"))
+        raw = counts.join(F.broadcast(weighted), "term")
+    else:
+        raw = join_per_key(counts, weighted, ["term"], id_col, how="inner", counts=kept)
+    raw = raw.withColumn("w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(id_col)))
     return raw.select(id_col, "term", (F.col("w") / length).alias("weight"))
 
