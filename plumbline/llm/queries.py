@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import ngram_ratio
+from plumbline.llm import hamming_trie, ngram_ratio
 from plumbline.llm.common import table
 from plumbline.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op4_hamming_trie")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    found = hamming_trie.near_duplicates(table(spark, folder, "documents"))
+    hexadecimal = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return found.select("doc_id", hexadecimal.alias("fingerprint"), "component_id")
+
+
 @query("op10_ngram_ratio")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
