@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import hamming_trie, ngram_ratio
+from plumbline.llm import byte_bpe, hamming_trie, ngram_ratio
 from plumbline.llm.common import table
 from plumbline.llm.registry import ORACLES, QUERIES, query
 
@@ -19,6 +20,13 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", hexadecimal.alias("fingerprint"), "component_id")
 
 
+@query("op8_byte_bpe")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, with_ids=False).drop("text")
+
+
 @query("op10_ngram_ratio")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
