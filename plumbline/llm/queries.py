@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, hamming_trie, ngram_ratio
+from plumbline.llm import best_two_fit, byte_bpe, hamming_trie, ngram_ratio
 from plumbline.llm.common import table
 from plumbline.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op3_best_two_fit")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return best_two_fit.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op4_hamming_trie")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     found = hamming_trie.near_duplicates(table(spark, folder, "documents"))
