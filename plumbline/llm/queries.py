@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import best_two_fit, byte_bpe, hamming_trie, ngram_ratio
+from plumbline.llm import backoff_lm, best_two_fit, byte_bpe, hamming_trie, ngram_ratio
 from plumbline.llm.common import table
 from plumbline.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op2_backoff_lm")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return backoff_lm.score_documents(table(spark, folder, "documents"))
+
+
 @query("op3_best_two_fit")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
