@@ -233,7 +233,8 @@ def walk(
 ) -> np.ndarray:
     """log10 probability of every token along the automaton; 0 at begin marks."""
     order = len(grams.keys)
-    count = {k: np.where(grams.ok[k], totals[k][grams.at[k]], 0) for k in totals}
+    # The zero at the end stands for places without an n-gram of that length.
+    count = {k: np.append(totals[k], 0)[np.where(grams.ok[k], grams.at[k], -1)] for k in totals}
     # A begin mark is a context as often as texts end.
     ends = int(totals[1][np.searchsorted(grams.keys[1], np.uint64(_END))]) if len(grams.keys[1]) else 0
     context = {1: np.where(grams.real, count[1], ends)} | {k: count[k] for k in range(2, order)}
