@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import backoff_lm, best_two_fit, byte_bpe, hamming_trie, ngram_ratio
+from plumbline.llm import backoff_lm, best_two_fit, byte_bpe, hamming_trie, ngram_ratio, template_tree
 from plumbline.llm.common import table
 from plumbline.llm.registry import ORACLES, QUERIES, query
 
@@ -38,6 +38,14 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, with_ids=False).drop("text")
 
 
+@query("op9_template_tree", template_tree.SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return template_tree.drop_recurring_lines(docs).select(
+        "doc_id", "n_lines", "dropped_lines", F.md5("text").alias("text_md5")
+    )
+
+
 @query("op10_ngram_ratio")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
