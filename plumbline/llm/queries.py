@@ -6,7 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import backoff_lm, best_two_fit, byte_bpe, hamming_trie, ngram_ratio, template_tree
+from plumbline.llm import (
+    backoff_lm,
+    best_two_fit,
+    byte_bpe,
+    hamming_trie,
+    ngram_ratio,
+    template_tree,
+    vertical_topk,
+)
 from plumbline.llm.common import table
 from plumbline.llm.registry import ORACLES, QUERIES, query
 
@@ -31,6 +39,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", hexadecimal.alias("fingerprint"), "component_id")
 
 
+@query("op7_vertical_topk", vertical_topk.SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return vertical_topk.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("op8_byte_bpe")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
