@@ -10,6 +10,7 @@ from plumbline.llm import (
     backoff_lm,
     best_two_fit,
     byte_bpe,
+    capture_index,
     hamming_trie,
     ngram_ratio,
     template_tree,
@@ -39,6 +40,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", hexadecimal.alias("fingerprint"), "component_id")
 
 
+@query("op6_capture_index", capture_index.SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return capture_index.archive_and_read(table(spark, folder, "pages"))
+
+
 @query("op7_vertical_topk", vertical_topk.SQL)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return vertical_topk.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
