@@ -12,6 +12,7 @@ from plumbline.llm import (
     byte_bpe,
     capture_index,
     hamming_trie,
+    link_trust,
     ngram_ratio,
     template_tree,
     vertical_topk,
@@ -40,6 +41,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", hexadecimal.alias("fingerprint"), "component_id")
 
 
+@query("op5_link_trust", link_trust.SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return link_trust.judge(table(spark, folder, "pages"))
+
+
 @query("op6_capture_index", capture_index.SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return capture_index.archive_and_read(table(spark, folder, "pages"))
