@@ -29,7 +29,9 @@ from plumbline.llm.common import add_columns, texts_of
 
 GRAM = 4
 BUCKETS = 1 << 16
-SMOOTHING = 1.0
+# Added to the counts of both multinomials, the corpus scaled to the size of the trusted texts,
+# so that a bucket of few trusted n-grams says little.
+SMOOTHING = 5.0
 # Natural logarithm per n-gram. Ordinary text is near or above 0, as it is most of the corpus.
 THRESHOLD = -0.4
 # The multinomial of trusted texts is fitted on this many labelled ids at most, in hash order.
@@ -136,8 +138,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         counts[:, r.bucket] = r.corpus, r.target
     if not counts[1].sum():
         return Ratio(np.zeros(BUCKETS))
-    logs = np.log((counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * BUCKETS))
-    return Ratio(logs[1] - logs[0])
+    corpus, target = counts
+    scaled = corpus * (target.sum() / corpus.sum())
+    # Both have the same total now, which cancels out.
+    return Ratio(np.log(target + SMOOTHING) - np.log(scaled + SMOOTHING))
 
 
 def repeated_words(words: list[bytes]) -> int:
