@@ -14,6 +14,7 @@ from plumbline.llm import (
     hamming_trie,
     link_trust,
     ngram_ratio,
+    preference_format,
     template_tree,
     vertical_topk,
 )
@@ -23,6 +24,13 @@ from plumbline.llm.registry import ORACLES, QUERIES, query
 __all__ = ["ORACLES", "QUERIES"]
 
 
+@query("op1_preference_format", preference_format.SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = preference_format.preference_pairs(table(spark, folder, "conversations"))
+    masks = {c: preference_format.mask_text(c) for c in ("chosen_mask", "rejected_mask")}
+    return preference_format.format_pairs(pairs).withColumns(masks)
+
+
 @query("op2_backoff_lm")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return backoff_lm.score_documents(table(spark, folder, "documents"))
