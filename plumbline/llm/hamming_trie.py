@@ -277,14 +277,13 @@ def near_duplicates(
     budget: int = BUDGET,
     subtree_rows: int = SUBTREE_ROWS,
 ) -> DataFrame:
-    """(doc_id, fingerprint, component_id, component): one row per row of ``docs``.
+    """(doc_id, fingerprint, component_id, component, row): one row per row of ``docs``.
 
-    ``component`` is set for every row and tells components without ids apart.
+    ``component`` is set for every row and tells components without ids apart;
+    ``row`` is the hash of id and text.
     """
-    marked = written_table(
-        fingerprints(docs.select(F.col("doc_id").cast("long"), "text"), shingle).select("doc_id", "fingerprint"),
-        "fingerprints",
-    )
+    own = docs.select(F.col("doc_id").cast("long"), "text", _row().alias("row"))
+    marked = written_table(fingerprints(own, shingle).drop("text"), "fingerprints")
     classes = written_table(
         marked.groupBy("fingerprint")
         .agg(F.min("doc_id").alias("first"))
@@ -307,4 +306,18 @@ def near_duplicates(
         "fingerprint",
         F.when(~F.col("component.anonymous"), F.col("component.id")).alias("component_id"),
         "component",
+        "row",
     )
+
+
+def _row() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, null ids last."""
+    found = near_duplicates(docs, shingle, budget)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "row"))
+    kept = found.groupBy("component").agg(first.alias("first")).select(F.col("first.row").alias("__row")).distinct()
+    marked = docs.withColumn("__row", _row())
+    return marked.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
