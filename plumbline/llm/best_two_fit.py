@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from plumbline.llm.common import texts_of
 from plumbline.operators.ordering import running_totals
@@ -36,21 +37,52 @@ from plumbline.session import written_table
 
 SIZE = 2048
 END = 0
-WORDS = 400_000
+WORDS = 800_000
 BUCKET_ROWS = 50_000
 _GROUP = 4 << 20
 _SPACE = re.compile(rb"[ \t-\r]")
-_TOKENIZERS: dict[str, tuple[Tokenizer, dict[bytes, bytes]]] = {}
+# Lead bytes of combining marks that letters A-Z compose with.
+_MARKS = re.compile(rb"[\xcc\xcd]")
+_PLAIN = re.compile("([a-zà-öø-ÿ]+)([.,]?)")
 
 
-def _tokenizer(path: str) -> tuple[Tokenizer, dict[bytes, bytes]]:
-    """One tokenizer and table of encoded words per Python worker."""
-    if path not in _TOKENIZERS:
+class Words:
+    """A tokenizer and a table of the words it has encoded, one per Python worker and file."""
+
+    _known: dict[str, "Words"] = {}
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
-        _TOKENIZERS[path] = own, {}
-    return _TOKENIZERS[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.ids: dict[bytes, bytes] = {}
+        letters = [chr(c) for c in range(256) if _PLAIN.fullmatch(chr(c))]
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in letters})
+        self.ends = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,"} | {"": []}
+
+    @classmethod
+    def of(cls, path: str) -> "Words":
+        if path not in cls._known:
+            cls._known[path] = cls(path)
+        return cls._known[path]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encode new words. Those of small letters, with a stop or comma at most, are single
+        pieces of the tokenizer's own splitting and need only its merges."""
+        merges, rest = self.tokenizer.model.tokenize, []
+        for word in words:
+            plain = _PLAIN.fullmatch(word.decode("utf-8", "replace"))
+            if plain:
+                ids = [t.id for t in merges(plain[1].translate(self.letters))] + self.ends[plain[2]]
+                self.ids[word] = np.array(ids, "<u4").tobytes()
+            else:
+                rest.append(word)
+        for i in range(0, len(rest), 10_000):
+            some = rest[i : i + 10_000]
+            texts = [w.decode("utf-8", "replace") for w in some]
+            for word, found in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                self.ids[word] = np.array(found.ids, "<u4").tobytes()
 
 
 def parts_of(text: bytes) -> Iterator[bytes]:
@@ -69,18 +101,17 @@ def encode_parts(parts: list[bytes], path: str) -> list[bytes]:
     """Ids as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and no token reaches across it, so words are
-    encoded once and remembered.
+    encoded once and remembered. It puts letters into lower case itself, after
+    composing them; where there are no combining marks, that may be done before.
     """
-    own, known = _tokenizer(path)
-    words = [p.split() for p in parts]
+    table = Words.of(path)
+    known = table.ids
+    words = [(p if _MARKS.search(p) else p.lower()).split() for p in parts]
     if len(known) > WORDS:
         known.clear()
-    new = list(set().union(*words).difference(known))
-    for i in range(0, len(new), 10_000):
-        some = new[i : i + 10_000]
-        found = own.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found))
-    return [b"".join(map(known.__getitem__, w)) for w in words]
+    found = [list(map(known.get, w)) for w in words]
+    table.learn([*{w for row, ids in zip(words, found) if None in ids for w, x in zip(row, ids) if x is None}])
+    return [b"".join(map(known.__getitem__, w) if None in ids else ids) for w, ids in zip(words, found)]
 
 
 def encode(texts: list[bytes], path: str) -> Iterator[bytes]:

@@ -23,7 +23,7 @@ def library():
     return own
 
 
-ODD = ["", " \n", "Hello  World\x0bnew\x1ca b", "é ́x ạ́", "don't I'LL 123 '", "日本 🙂🙂", "İSTANBUL ΣΑΣ", "<|endoftext|> x"]
+ODD = ["", " \n", "Hello  World\x0bnew\x1ca b", "é ́x ạ́", "don't I'LL 123 '", "日本 🙂🙂", "İSTANBUL ΣΑΣ", "J̌ ǰ J̌x A\u030a I\u0307 K\u0327", "<|endoftext|> x"]
 
 
 def test_tokens_equal_the_library(library):
@@ -31,6 +31,15 @@ def test_tokens_equal_the_library(library):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in ODD]
 
 
+def test_plain_words_equal_the_library(library):
+    rng = random.Random(9)
+    letters = "aeinrstxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) + rng.choice(["", ".", ",", "..", "!"]) for _ in range(3000)]
+    words += ["a×b", "÷", "×.", "ª", "µm", "a-b.", "1.", "é."]
+    got = list(best_two_fit.encode([w.encode() for w in words], PATH))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(w, add_special_tokens=False).ids for w in words]
+
+
 def test_long_texts_are_encoded_in_parts(library, monkeypatch):
     monkeypatch.setattr(best_two_fit, "_GROUP", 50)
     texts = ["word " * 100 + "end", "x" * 400, "short", "a b\n" * 40]
