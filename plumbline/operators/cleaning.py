@@ -95,12 +95,14 @@ def drop_exact_duplicates(
 ) -> DataFrame:
     """Keep the earliest row (then the smallest id) of each group of equal rows.
 
-    Only (date, id) pairs are aggregated; the rows come back by their unique id.
+    Whole rows are aggregated, so rows with one id are told apart, each task
+    hands on one row per group it saw, and the input is read once.
     """
     keyed, keys = _with_keys(df, list(subset))
     when = F.coalesce(F.unix_micros("review_date"), F.lit(2**62).cast("long"))
-    first = keyed.groupBy(*keys).agg(F.min(F.struct(when.alias("t"), "review_id")).alias("__first"))
-    return df.join(first.select("__first.review_id"), "review_id", "left_semi")
+    order = F.struct(when, "review_id", F.xxhash64(*df.columns))
+    first = F.min_by(F.struct(*df.columns), order).alias("__first")
+    return keyed.groupBy(*keys).agg(first).select("__first.*")
 
 
 def filter_paid(df: DataFrame) -> DataFrame:

@@ -40,8 +40,8 @@ def running_totals(
     """Add, per stratum and in order, the running total of each column of ``sums``.
 
     ``<name>`` is the total up to and including the row, ``<name>_all`` the total
-    of the stratum. ``order`` must be unique within a stratum and agree with
-    ``bucket``.
+    of the stratum. ``order`` must agree with ``bucket``; rows that it does not
+    tell apart come one after the other.
     """
     by = [*strata, "__bucket"]
     marked = df.withColumn("__bucket", bucket).withColumns({f"__{k}": c for k, c in sums.items()})
@@ -61,10 +61,7 @@ def running_totals(
 
 
 def hash_positions(df: DataFrame, id_col: str, seed: int, strata: list[str]) -> DataFrame:
-    """``position`` (from 1) of each row in hash order and ``position_all``, per stratum.
-
-    Ids must be unique within a stratum.
-    """
+    """``position`` (from 1) of each row in hash order and ``position_all``, per stratum."""
     keyed = df.withColumn("__hash", hash_key(id_col, seed))
     bucket = F.conv(F.substring("__hash", 1, _HASH_DIGITS), 16, 10).cast("long")
     ranked = running_totals(

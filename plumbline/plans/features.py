@@ -18,6 +18,7 @@ from plumbline.operators.behavior import (
     votes_zscore,
 )
 from plumbline.operators.graph import communities, product_degree, project_products
+from plumbline.operators.identity import ROW_ID, with_row_id
 from plumbline.operators.matrix import scaling
 from plumbline.operators.near_duplicates import BLOCK_ROWS, max_sibling_similarity
 from plumbline.operators.skew import HOT_ROWS, join_per_key, row_counts
@@ -43,10 +44,11 @@ def build_feature_table(
     """All text and behavioural features on every review.
 
     Statistics of one key are computed and joined together, on rows without
-    their texts. Texts rejoin at the end, by the unique id, so long values are
-    shuffled once. Several branches read ``df``: hand in a stored table rather
-    than a long plan.
+    their texts. Texts rejoin at the end, by a number given to every row, so long
+    values are shuffled once and rows with one review id stay apart. The numbered
+    rows are stored, as several branches read them.
     """
+    df = with_row_id(df)
     lexicon = lexicon if lexicon is not None else small_lexicon(df.sparkSession)
     texts = [c for c in TEXT_COLUMNS if c in df.columns]
     rows = df.drop(*texts)
@@ -61,17 +63,18 @@ def build_feature_table(
     )
     for key, stats in (("reviewer_id", of_reviewer), ("product_id", of_product)):
         counts = row_counts(df, [key])
-        rows = join_per_key(rows, stats, [key], "review_id", counts=counts, hot_rows=hot_rows)
+        rows = join_per_key(rows, stats, [key], ROW_ID, counts=counts, hot_rows=hot_rows)
     rows = rows.withColumns(
         {"helpful_ratio": helpful_ratio(smoothing), "helpful_votes_pz": votes_zscore()}
     ).drop("__votes_mean", "__votes_std")
-    similar = max_sibling_similarity(df, block_rows=block_rows, hot_rows=hot_rows)
-    styled = df.select("review_id", *texts, *[c.alias(n) for n, c in text_stats("review_text").items()])
+    similar = max_sibling_similarity(df, id_col=ROW_ID, block_rows=block_rows, hot_rows=hot_rows)
+    styled = df.select(ROW_ID, *texts, *[c.alias(n) for n, c in text_stats("review_text").items()])
     return (
-        rows.join(sentiment(df, lexicon), "review_id")
-        .join(similar, "review_id")
-        .join(styled, "review_id")
+        rows.join(sentiment(df, lexicon, ROW_ID), ROW_ID)
+        .join(similar, ROW_ID)
+        .join(styled, ROW_ID)
         .withColumn("is_near_duplicate", F.col("max_intra_product_similarity") >= threshold)
+        .drop(ROW_ID)
     )
 
 
@@ -89,10 +92,11 @@ def product_signals(df: DataFrame, window_days: float = WINDOW_DAYS, block_rows:
             F.avg("max_intra_product_similarity").alias("mean_near_dup"),
         )
         return stats.join(rest, "product_id")
-    similar = max_sibling_similarity(df, block_rows=block_rows)
+    df = with_row_id(df)
+    similar = max_sibling_similarity(df, id_col=ROW_ID, block_rows=block_rows)
     near = (
-        df.select("review_id", "product_id")
-        .join(similar, "review_id")
+        df.select(ROW_ID, "product_id")
+        .join(similar, ROW_ID)
         .groupBy("product_id")
         .agg(F.avg("max_intra_product_similarity").alias("mean_near_dup"))
     )
