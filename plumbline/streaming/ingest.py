@@ -41,12 +41,15 @@ def stream_dedup(
 def latest_per_url(
     pages: DataFrame, now: Column, ttl_days: float = 30.0, url: str = "url", fetched: str = "fetched_at"
 ) -> DataFrame:
-    """Newest stored response per URL, ignoring those older than the time to live."""
+    """Newest stored response per URL, ignoring those older than the time to live.
+
+    Of responses fetched at one time the one with the largest content stays.
+    """
     age = F.unix_micros(now) - F.unix_micros(F.col(fetched).cast("timestamp"))
     fresh = pages.where(age <= int(ttl_days * 86_400_000_000))
     rest = [c for c in pages.columns if c != url]
     return (
         fresh.groupBy(url)
-        .agg(F.max_by(F.struct(*rest), F.col(fetched)).alias("r"))
+        .agg(F.max_by(F.struct(*rest), F.struct(fetched, *[c for c in rest if c != fetched])).alias("r"))
         .select(url, "r.*")
     )
