@@ -45,7 +45,7 @@ from plumbline.sources.pages import (
     platform_reviews,
     review_blocks,
 )
-from plumbline.sources.synthetic import PRAISE, TEXTS, synthetic_reviews
+from plumbline.sources.synthetic import Market, phrases_of, synthetic_reviews
 from plumbline.sources.tables import reviews_docs, reviews_items, table
 
 
@@ -666,37 +666,50 @@ def join_reviews_meta_query(spark, folder):
 @query(
     "incremental_anti_join",
     """SELECT p_partkey AS product_id FROM part
-       WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')""",
+       WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 7)""",
 )
 def incremental_anti_join(spark, folder):
     items = table(spark, folder, "part").select(F.col("p_partkey").alias("product_id"))
-    done = table(spark, folder, "lineitem").where(F.col("l_returnflag") == "R")
+    done = table(spark, folder, "lineitem").where(F.col("l_quantity") == 7)
     return not_yet_done(items, done.select(F.col("l_partkey").alias("product_id")))
 
 
-def _draw(sides: int, what: str) -> str:
-    return f"CAST('0x' || substr(sha1(concat_ws('|', '42', '{what}', a, j)), 1, 8) AS BIGINT) % {sides}"
+_MARKET = Market()
+_WHEEL = [s for s, n in _MARKET.stars.items() for _ in range(n)]
+
+
+def _draw(sides: int, what: str, *parts: str) -> str:
+    listed = ", ".join(["'42'", f"'{what}'", "a", *parts])
+    return f"CAST('0x' || substr(sha1(concat_ws('|', {listed})), 1, 8) AS BIGINT) % {sides}"
 
 
 @query(
     "synthetic_reviews",
-    f"""WITH rows AS (SELECT CAST(p_partkey AS VARCHAR) AS a, unnest(range(6)) AS j FROM part),
-      drawn AS (SELECT a, j,
-        CAST('0x' || substr(sha1(concat_ws('|', '42', 'planted', a)), 1, 8) AS BIGINT) % 8 = 0 AS planted,
-        [1, 3, 4, 5, 5][{_draw(5, 'rating')} + 1] AS r,
-        [{', '.join("'" + t + "'" for t in TEXTS)}][{_draw(4, 'text')} + 1] AS t,
-        {_draw(41, 'user')} AS u, {_draw(10, 'verified')} AS v, {_draw(26, 'votes')} AS h FROM rows)
-      SELECT concat_ws('-', a, j) AS review_id, a AS product_id,
-        CASE WHEN planted THEN 'S' || j ELSE 'U' || u END AS reviewer_id,
-        CAST(CASE WHEN planted THEN 5 ELSE r END AS DOUBLE) AS rating,
-        CASE WHEN planted AND j % 2 = 0 THEN '{PRAISE}' WHEN planted THEN '{PRAISE} so good' ELSE t END
-          AS review_text,
-        CASE WHEN planted THEN false ELSE v < 7 END AS verified_purchase,
-        (1672531200000 + CASE WHEN planted THEN j * 3600000 ELSE j * 86400000 END) * 1000 AS review_date,
-        h AS helpful_votes FROM drawn""",
+    f"""WITH openings AS (
+        SELECT array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:6], ' ') AS phrase,
+          row_number() OVER (ORDER BY sha1(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS n FROM documents),
+      listed AS (SELECT list(phrase ORDER BY n) AS ps FROM openings WHERE n < 40),
+      rows AS (SELECT CAST(p_partkey AS VARCHAR) AS a, unnest(range(1, {_MARKET.reviews + 1})) AS j FROM part),
+      marked AS (SELECT *, {_draw(100, 'campaign')} < {_MARKET.campaign_percent} AS pushed FROM rows),
+      drawn AS (SELECT *,
+        ps[1 + CASE WHEN pushed THEN {_draw(40, 'slogan')} ELSE {_draw(40, 'first', 'j')} END] AS one,
+        ps[1 + {_draw(40, 'second', 'j')}] AS two,
+        CASE WHEN pushed THEN {_draw(365, 'day')} ELSE {_draw(365, 'day', 'j')} END * 1440 AS day,
+        {_draw(1440, 'minute', 'j')} * CASE WHEN pushed THEN {_MARKET.campaign_hours / 24}::DOUBLE ELSE 1.0::DOUBLE END AS minute
+        FROM marked CROSS JOIN listed)
+      SELECT concat_ws(':', 'made', a, j) AS review_id, a AS product_id,
+        CASE WHEN pushed THEN 'crew' || {_draw(_MARKET.crew, 'who', 'j')}
+          ELSE 'buyer' || {_draw(_MARKET.public, 'who', 'j')} END AS reviewer_id,
+        CAST(CASE WHEN pushed THEN 4 + {_draw(2, 'stars', 'j')}
+          ELSE {_WHEEL}[1 + {_draw(len(_WHEEL), 'stars', 'j')}] END AS DOUBLE) AS rating,
+        concat_ws('. ', one, two) AS review_text,
+        NOT pushed AND {_draw(100, 'verified', 'j')} < {_MARKET.verified_percent} AS verified_purchase,
+        epoch_us(TIMESTAMP '{_MARKET.year}-01-01') + CAST(day + floor(minute) AS BIGINT) * 60000000 AS review_date,
+        {_draw(18, 'votes', 'j')} AS helpful_votes FROM drawn""",
 )
 def synthetic_reviews_query(spark, folder):
-    raw = synthetic_reviews(table(spark, folder, "part"), "p_partkey")
+    phrases = phrases_of(table(spark, folder, "documents"))
+    raw = synthetic_reviews(table(spark, folder, "part"), "p_partkey", phrases, _MARKET)
     rows = normalize_review_2023(raw, F.lit("made"))
     return with_micros(rows).select(
         "review_id", "product_id", "reviewer_id", "rating", "review_text", "verified_purchase",

@@ -18,29 +18,29 @@ from plumbline.functions.scalars import (
 )
 from plumbline.schema import EXTRA_TYPES, META_COLUMNS, REVIEW_COLUMNS, REVIEW_SCHEMA
 
-# Raw record layouts. Fields that occur both as text and as a
-# number or flag are read as text and parsed afterwards.
+# Raw record layouts. Numbers occur quoted and with a fraction too,
+# flags as words, so they are read as text and parsed afterwards.
 REVIEW_2023 = """
-    review_id string, parent_asin string, asin string, user_id string, rating double,
+    review_id string, parent_asin string, asin string, user_id string, rating string,
     title string, text string, verified_purchase string, timestamp string,
-    helpful_vote long, helpful_votes long
+    helpful_vote string, helpful_votes string
 """
 META_2023 = """
     parent_asin string, asin string, title string, price string, store string,
     main_category string
 """
 REVIEW_2014 = """
-    asin string, reviewerID string, reviewText string, summary string, overall double,
-    unixReviewTime long, helpful array<long>
+    asin string, reviewerID string, reviewText string, summary string, overall string,
+    unixReviewTime string, helpful array<string>
 """
 META_2014 = """
     asin string, title string, brand string, price string, categories array<array<string>>
 """
 PLATFORM_REVIEW = """
     recommendationid string,
-    author struct<steamid:string, num_reviews:long, num_games_owned:long, playtime_forever:long>,
-    review string, timestamp_created long, voted_up boolean, votes_up long, votes_funny long,
-    weighted_vote_score string, comment_count long, steam_purchase boolean,
+    author struct<steamid:string, num_reviews:string, num_games_owned:string, playtime_forever:string>,
+    review string, timestamp_created string, voted_up boolean, votes_up string, votes_funny string,
+    weighted_vote_score string, comment_count string, steam_purchase boolean,
     received_for_free boolean, written_during_early_access boolean
 """
 PLATFORM_META = """
@@ -48,8 +48,8 @@ PLATFORM_META = """
     price_overview struct<final:double>, developers array<string>
 """
 PAGE_REVIEW = """
-    id string, user_id string, rating double, title string, text string,
-    verified_purchase string, date string, helpful_vote long
+    id string, user_id string, rating string, title string, text string,
+    verified_purchase string, date string, helpful_vote string
 """
 PAGE_META = "title string, price string, brand string, store string, main_category string"
 
@@ -65,8 +65,14 @@ def unified(df: DataFrame, columns: dict[str, Column], extras: dict[str, Column]
     return df.select(*out)
 
 
+def _whole(c: Column | str) -> Column:
+    """A whole number from text, cut at the point; null where there is none."""
+    number = to_number(c)
+    return F.when(F.abs(number) < 2.0**62, number).cast("long")
+
+
 def _votes(*names: str) -> Column:
-    return F.coalesce(*[F.nullif(F.col(n), F.lit(0)) for n in names], F.lit(0))
+    return F.coalesce(*[F.nullif(_whole(n), F.lit(0).cast("long")) for n in names], F.lit(0).cast("long"))
 
 
 def normalize_review_2023(df: DataFrame, category: Column) -> DataFrame:
@@ -79,7 +85,7 @@ def normalize_review_2023(df: DataFrame, category: Column) -> DataFrame:
             "product_id": product,
             "product_category": category,
             "reviewer_id": reviewer,
-            "rating": F.col("rating"),
+            "rating": to_number("rating"),
             "review_title": first_filled("title"),
             "review_text": text,
             "verified_purchase": coerce_bool("verified_purchase"),
@@ -101,12 +107,12 @@ def normalize_review_2014(df: DataFrame, category: Column) -> DataFrame:
             "product_id": product,
             "product_category": category,
             "reviewer_id": reviewer,
-            "rating": F.col("overall"),
+            "rating": to_number("overall"),
             "review_title": first_filled("summary"),
             "review_text": text,
             "review_date": parse_epoch("unixReviewTime", "s"),
-            "helpful_votes": F.coalesce(F.get("helpful", F.lit(0)), F.lit(0)),
-            "total_votes": F.nullif(F.get("helpful", F.lit(1)), F.lit(0)),
+            "helpful_votes": F.coalesce(_whole(F.get("helpful", F.lit(0))), F.lit(0)),
+            "total_votes": F.nullif(_whole(F.get("helpful", F.lit(1))), F.lit(0).cast("long")),
             "source": F.lit("fallback"),
         },
     )
@@ -161,7 +167,7 @@ def normalize_platform_review(df: DataFrame, app_id: Column) -> DataFrame:
         return F.coalesce(F.col(name), F.lit(False))
 
     def count(c: Column) -> Column:
-        return F.coalesce(c, F.lit(0)).cast("long")
+        return F.coalesce(_whole(c), F.lit(0)).cast("long")
 
     extras = {
         "received_for_free": flag("received_for_free"),
@@ -206,7 +212,7 @@ def normalize_page_review(df: DataFrame, product_id: Column, category: Column) -
             "product_id": product_id,
             "product_category": category,
             "reviewer_id": reviewer,
-            "rating": F.col("rating"),
+            "rating": to_number("rating"),
             "review_title": first_filled("title"),
             "review_text": text,
             "verified_purchase": coerce_bool("verified_purchase", PAGE_TRUE_WORDS),
