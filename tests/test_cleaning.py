@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import coerce_bool, parse_epoch, parse_price, stable_id
 from plumbline.functions.text import clean_text, ngrams, text_stats, tokens
-from plumbline.operators.cleaning import drop_exact_duplicates, flag_exact_duplicates
+from plumbline.operators.cleaning import clean_reviews, drop_exact_duplicates, flag_exact_duplicates
 from plumbline.operators.labels import STRATEGIES, proxy_label, real_label, strategy_sweep
 from plumbline.schema import validate_schema
+from plumbline.sources.normalizers import normalize_review_2014
 
 
 @pytest.mark.parametrize(
@@ -33,15 +34,29 @@ def test_clean_text_lowercase(spark):
 
 def test_clean_reviews(cleaned):
     flags = by_id(cleaned, "is_exact_duplicate")
-    assert {k for k, v in flags.items() if v} == {"r1", "r2", "r7"}
-    assert by_id(cleaned, "verified_purchase")["r6"] is None
-    assert by_id(cleaned, "review_text")["r6"] == "Average book & nothing special"
-    assert cleaned.count() == 8
+    assert {k for k, v in flags.items() if v} == {"a3", "b1", "b2", "b3"}
+    assert by_id(cleaned, "verified_purchase")["a4"] is None
+    assert by_id(cleaned, "review_text")["a4"] == "Switch feels cheap & wobbly"
+    assert cleaned.count() == 9
 
 
 def test_drop_exact_duplicates(cleaned):
-    assert drop_exact_duplicates(cleaned).count() == 8
-    assert drop_exact_duplicates(cleaned, ("product_id", "review_text")).count() == 6
+    left = drop_exact_duplicates(cleaned)
+    assert left.columns == cleaned.columns
+    assert sorted(r.review_id for r in left.collect()) == ["a1", "a2", "a3", "a4", "b1", "b2", "c1"]
+    left = drop_exact_duplicates(cleaned, ("product_id", "review_text")).collect()
+    assert sorted(r.review_id for r in left) == ["a1", "a2", "a3", "a4", "b1", "c1"]
+
+
+def test_copies_of_raw_records_share_an_id_and_are_dropped(spark):
+    raw = [("p", "u", "fine", "5.0")] * 3 + [("p", "u", "bad", "1.0")]
+    df = spark.createDataFrame(raw, "asin string, reviewerID string, reviewText string, overall string").selectExpr(
+        "*", "'' AS summary", "'1400000000' AS unixReviewTime", "array('1', '2.0') AS helpful"
+    )
+    rows = clean_reviews(normalize_review_2014(df, F.lit("c")))
+    assert rows.select("review_id").distinct().count() == 2
+    assert sorted(r.rating for r in drop_exact_duplicates(rows).collect()) == [1.0, 5.0]
+    assert rows.select("helpful_votes", "total_votes").distinct().collect() == [(1, 2)]
 
 
 def test_duplicates_do_not_depend_on_salting(small):
@@ -80,8 +95,8 @@ def test_stable_id(spark):
 
 def test_text_stats(cleaned):
     stats = cleaned.select("review_id", *[c.alias(n) for n, c in text_stats("review_text").items()])
-    assert by_id(stats, "word_count")["r1"] == 5
-    assert by_id(stats, "exclaim_count")["r1"] == 0
+    assert by_id(stats, "word_count")["a1"] == 8
+    assert by_id(stats, "exclaim_count")["a1"] == 0 and by_id(stats, "exclaim_count")["b1"] == 1
     empty = cleaned.limit(1).select(*[c.alias(n) for n, c in text_stats(F.lit("")).items()]).first()
     assert set(empty) == {0}
 
@@ -128,4 +143,4 @@ def test_label_sweep_and_unknown_strategy(labelled):
 
 def test_proxy_label(cleaned):
     y = by_id(proxy_label(cleaned), "y")
-    assert "r6" not in y and y["r1"] == 1 and y["r3"] == 0
+    assert "a4" not in y and y["a3"] == 1 and y["a1"] == 0

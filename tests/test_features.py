@@ -14,17 +14,18 @@ from plumbline.operators.behavior import (
     add_reviewer_features,
     burst_peak,
 )
+from plumbline.operators.identity import with_row_id
 from plumbline.operators.matrix import design_matrix, matrix_columns
 from plumbline.operators.near_duplicates import add_near_duplicate_features, max_sibling_similarity
 from plumbline.operators.ordering import hash_positions, quantiles
-from plumbline.operators.sampling import sample_rows, stratified_split
-from plumbline.operators.vectors import tfidf
+from plumbline.operators.sampling import sample_rows, stratified_folds, stratified_split
+from plumbline.operators.vectors import term_counts, tfidf
 from plumbline.plans.features import build_feature_table
 
 
 def test_sentiment_signs(cleaned):
     scores = by_id(add_sentiment(cleaned), "sentiment_compound")
-    assert scores["r4"] > 0 > scores["r5"]
+    assert scores["a1"] > 0 > scores["a3"]
 
 
 def test_sentiment_rules(spark):
@@ -43,18 +44,18 @@ def test_sentiment_rules(spark):
 
 def test_reviewer_and_product_features(cleaned):
     people = {r["review_id"]: r for r in add_reviewer_features(cleaned).collect()}
-    assert (people["r1"]["reviewer_review_count"], people["r1"]["reviewer_product_count"]) == (2, 2)
-    assert people["r1"]["reviewer_category_breadth"] == 2 and people["r4"]["reviewer_category_breadth"] == 1
+    assert (people["a1"]["reviewer_review_count"], people["a1"]["reviewer_product_count"]) == (2, 2)
+    assert people["a1"]["reviewer_category_breadth"] == 2 and people["b2"]["reviewer_category_breadth"] == 1
     things = {r["review_id"]: r for r in add_product_features(cleaned).collect()}
-    assert things["r1"]["product_review_count"] == 4 and things["r4"]["product_review_count"] == 3
-    assert things["r1"]["product_verified_ratio"] == 0.25
-    assert things["r6"]["product_rating_skew"] == 0.0 and things["r6"]["product_rating_std"] == 0.0
+    assert things["a1"]["product_review_count"] == 5 and things["b1"]["product_review_count"] == 3
+    assert things["a1"]["product_verified_ratio"] == 0.5
+    assert things["c1"]["product_rating_skew"] == 0.0 and things["c1"]["product_rating_std"] == 0.0
 
 
 def test_bursts(cleaned):
     out = add_burst_features(cleaned)
-    assert by_id(out, "product_burst_max")["r1"] == 4
-    assert by_id(out, "reviewer_burst_max")["r1"] == 2
+    assert by_id(out, "product_burst_max")["a1"] == 4
+    assert by_id(out, "reviewer_burst_max")["a1"] == 2
     assert by_id(add_burst_features(cleaned, hot_rows=1), "product_burst_max") == by_id(out, "product_burst_max")
 
 
@@ -76,14 +77,15 @@ def test_burst_against_brute_force(spark):
 
 def test_helpful_ratio(cleaned):
     out = by_id(add_helpful_ratio(cleaned), "helpful_ratio")
-    assert out["r4"] == pytest.approx(4 / 6) and out["r1"] is None
+    assert out["a1"] == pytest.approx(5 / 11) and out["a3"] is None
 
 
 def test_near_duplicates(cleaned):
     out = add_near_duplicate_features(cleaned)
     sims, flags = by_id(out, "max_intra_product_similarity"), by_id(out, "is_near_duplicate")
-    assert sims["r1"] >= 0.99 and flags["r1"] and not flags["r3"]
-    assert sims["r4"] == 1.0 and sims["r8"] == 1.0 and sims["r6"] == 0.0
+    assert out.count() == 9
+    assert sims["b1"] >= 0.99 and flags["b1"] and not flags["a4"] and sims["a3"] == 1.0
+    assert sims["a1"] == 1.0 and sims["a2"] == 1.0 and sims["c1"] == 0.0
 
 
 def brute_force(groups):
@@ -126,11 +128,11 @@ def test_near_duplicates_in_blocks_and_with_hot_groups(spark, block_rows, hot_ro
 
 def test_feature_table_and_matrix(cleaned):
     table = build_feature_table(cleaned).cache()
-    assert table.count() == 8
+    assert table.count() == 9
     columns = matrix_columns(table)
     assert len(columns) >= 15 and "product_verified_ratio" not in columns
     matrix = design_matrix(table, ["review_id"])
-    assert matrix.na.drop().count() == 8
+    assert matrix.na.drop().count() == 9
     again = build_feature_table(cleaned, hot_rows=1, block_rows=2)
     assert by_id(again, "max_intra_product_similarity") == pytest.approx(
         by_id(table, "max_intra_product_similarity")
@@ -144,6 +146,23 @@ def test_tfidf_rows_have_length_one(cleaned):
     assert all(r["l"] == pytest.approx(1.0) for r in lengths)
 
 
+def test_copies_under_one_id_stay_single_rows(spark):
+    rows = [("same", "p", "u", f"words of text {i // 2}", i % 2) for i in range(6)] + [("other", "p", "v", "else", 1)]
+    df = spark.createDataFrame(rows, "review_id string, product_id string, reviewer_id string, review_text string, y int")
+    numbered = with_row_id(df)
+    assert numbered.select("row_id").distinct().count() == 7 and with_row_id(numbered) is numbered
+    assert add_sentiment(df).count() == 7 and add_near_duplicate_features(df).count() == 7
+    assert sorted(r.tf for r in term_counts(numbered, "row_id", high=1).where("term = 'words'").collect()) == [1] * 6
+    assert sample_rows(df, "review_id", 3).count() == 3
+    split = stratified_split(df, "review_id", "y", 0.5)
+    assert split.columns == [*df.columns, "part"] and split.count() == 7
+    assert {(r.y, r.part): r["count"] for r in split.groupBy("y", "part").count().collect()} == {
+        (0, "test"): 2, (0, "train"): 1, (1, "test"): 2, (1, "train"): 2,
+    }
+    folds = stratified_folds(df, "review_id", "y", 2).groupBy("y", "fold").count().collect()
+    assert sorted((r.y, r["count"]) for r in folds) == [(0, 1), (0, 2), (1, 2), (1, 2)]
+
+
 def test_quantiles_match_numpy(spark):
     rng = random.Random(1)
     values = [round(rng.gauss(0, 10), 2) for _ in range(501)] + [0.0, 0.0]

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from plumbline.operators.joins import join_reviews_meta, not_yet_done
 from plumbline.schema import EXTRA_TYPES, REVIEW_COLUMNS
 from plumbline.sources.files import discover_categories, load_categories, load_category, load_groundtruth, scan_groundtruth
-from plumbline.sources.normalizers import normalize_platform_review, PLATFORM_REVIEW
+from plumbline.sources.normalizers import PLATFORM_REVIEW, REVIEW_2023, normalize_platform_review, normalize_review_2023
 from plumbline.sources.pages import explode_api_meta, page_meta, page_reviews, review_blocks
-from plumbline.sources.synthetic import synthetic_reviews
-from plumbline.sources.normalizers import normalize_review_2023
+from plumbline.sources.synthetic import Market, phrases_of, synthetic_reviews
 from plumbline.streaming.ingest import ingest_available, latest_per_url, read_landed
 
 
@@ -54,29 +53,52 @@ def test_load_all_and_missing(spark, raw_dir):
     assert load_categories(spark, raw_dir, ["Tools"], sample_rows=1).count() == 1
 
 
-def test_platform_review(spark):
-    rows = [
-        json.dumps({"recommendationid": "r1", "author": {"steamid": "s1", "num_reviews": 12, "playtime_forever": 300},
-                    "review": "fun", "timestamp_created": 1700000000, "voted_up": True, "votes_up": 5,
-                    "weighted_vote_score": "0.6", "steam_purchase": True}),
-        json.dumps({"voted_up": False, "author": {}}),
-    ]
-    raw = spark.createDataFrame([(r,) for r in rows], "j string").select(F.from_json("j", PLATFORM_REVIEW).alias("r")).select("r.*")
-    up, down = normalize_platform_review(raw, F.lit("730")).orderBy(F.desc("rating")).collect()
-    assert up["rating"] == 5.0 and up["verified_purchase"] is True and up["weighted_vote_score"] == 0.6
-    assert up["author_playtime_forever"] == 300 and up["review_date"].year == 2023
-    assert down["rating"] == 1.0 and down["verified_purchase"] is False and down["author_num_reviews"] == 0
-    assert list(up.asDict())[-len(EXTRA_TYPES):] == list(EXTRA_TYPES)
+def platform_rows(spark, *objects):
+    raw = spark.createDataFrame([(json.dumps(o),) for o in objects], "line string")
+    parsed = raw.select(F.from_json("line", PLATFORM_REVIEW).alias("o")).select("o.*")
+    return normalize_platform_review(parsed, F.lit("440")).collect()
+
+
+def test_platform_review_fields(spark):
+    liked = {
+        "recommendationid": "88001", "voted_up": True, "review": "Runs on an old machine", "timestamp_created": 1510000000,
+        "author": {"steamid": "owner-7", "num_reviews": "31", "num_games_owned": 204, "playtime_forever": 95.0},
+        "votes_up": "14", "votes_funny": 2, "comment_count": 1, "weighted_vote_score": 0.47, "steam_purchase": False,
+        "received_for_free": True, "written_during_early_access": True,
+    }
+    row = platform_rows(spark, liked)[0].asDict()
+    assert (row["review_id"], row["product_id"], row["reviewer_id"], row["rating"]) == ("88001", "440", "owner-7", 5.0)
+    assert (row["author_num_reviews"], row["author_num_games_owned"], row["author_playtime_forever"]) == (31, 204, 95)
+    assert (row["helpful_votes"], row["votes_funny"], row["comment_count"]) == (14, 2, 1)
+    assert row["weighted_vote_score"] == 0.47 and row["received_for_free"] is True and row["early_access"] is True
+    assert row["verified_purchase"] is False and row["review_date"].year == 2017
+    assert list(row)[-len(EXTRA_TYPES):] == list(EXTRA_TYPES)
+
+
+def test_platform_review_gaps(spark):
+    row = platform_rows(spark, {"review": "meh"})[0]
+    assert row["rating"] == 1.0 and row["verified_purchase"] is False and row["received_for_free"] is False
+    assert row["author_num_games_owned"] == 0 and row["weighted_vote_score"] == 0.0 and len(row["review_id"]) == 16
+
+
+def test_platform_meta_entries(spark):
+    shop = {
+        "620": {"success": True, "data": {"name": "Portico", "developers": ["Arch", "Beam"],
+                                          "genres": [{"description": "Puzzle"}, {"description": "Indie"}],
+                                          "price_overview": {"final": 1249}}},
+        "621": {"success": True, "data": {"name": "Free Portico", "genres": [], "price_overview": {"final": 0}}},
+        "622": {"success": False},
+    }
+    entries = explode_api_meta(spark.createDataFrame([(json.dumps(shop),)], "payload string")).collect()
+    found = {r["product_id"]: (r["product_title"], r["price"], r["brand"], r["main_category"]) for r in entries}
+    assert found == {"620": ("Portico", 12.49, "Arch", "Puzzle"), "621": ("Free Portico", None, None, "Steam")}
 
 
-def test_platform_meta(spark):
-    node = {"730": {"success": True, "data": {"name": "N", "genres": [{"description": "Action"}],
-                                               "price_overview": {"final": 5999}, "developers": ["D"]}},
-            "1": {"success": False}, "2": {"success": True, "data": {"name": "F", "price_overview": {"final": 0}}}}
-    rows = explode_api_meta(spark.createDataFrame([(json.dumps(node),)], "payload string"))
-    got = {r["product_id"]: r for r in rows.collect()}
-    assert set(got) == {"730", "2"} and got["730"]["price"] == 59.99 and got["730"]["main_category"] == "Action"
-    assert got["2"]["price"] is None and got["2"]["main_category"] == "Steam"
+def test_raw_numbers_come_quoted_or_with_a_fraction(spark):
+    lines = ['{"rating":"4.0","helpful_vote":3.0}', '{"rating":2,"helpful_votes":"5"}', '{"rating":"none","helpful_vote":"many"}']
+    parsed = spark.createDataFrame([(x,) for x in lines], "j string").select(F.from_json("j", REVIEW_2023).alias("r")).select("r.*")
+    got = [(r.rating, r.helpful_votes) for r in normalize_review_2023(parsed, F.lit("c")).collect()]
+    assert got == [(4.0, 3), (2.0, 5), (None, 0)]
 
 
 def test_groundtruth_csv(spark, tmp_path):
@@ -124,18 +146,25 @@ def test_review_blocks(spark):
 
 
 def test_meta_join_with_hot_products(small, spark):
-    meta = spark.createDataFrame([("P1", "T", 1.0, "b", "m")], "product_id string, product_title string, price double, brand string, main_category string")
+    meta = spark.createDataFrame([("lamp", "T", 1.0, "b", "m")], "product_id string, product_title string, price double, brand string, main_category string")
     titles = by_id(join_reviews_meta(small, meta, hot_rows=1), "product_title")
-    assert titles["r1"] == "T" and titles["r4"] == "" and len(titles) == 8
+    assert titles["a1"] == "T" and titles["b1"] == "" and len(titles) == 8
     assert not_yet_done(small, meta).count() == 4
 
 
-def test_synthetic_reviews_have_planted_bursts(spark):
-    raw = synthetic_reviews(spark.range(200).select(F.col("id").alias("p")), "p", 10)
-    rows = normalize_review_2023(raw, F.lit("c"))
-    assert rows.count() == 2000
-    planted = rows.where(F.col("reviewer_id").startswith("S"))
-    assert 0 < planted.count() < 1000 and planted.where("rating < 5 or verified_purchase").isEmpty()
+def test_synthetic_campaigns(spark):
+    documents = spark.createDataFrame([(i, f"some words of text {chr(97 + i)} and more of it") for i in range(9)], "doc_id long, text string")
+    phrases = phrases_of(documents, 5)
+    assert len(set(phrases)) == 5 and all(p.startswith("some words of text") for p in phrases)
+    market = Market(reviews=8, campaign_percent=25)
+    rows = normalize_review_2023(synthetic_reviews(spark.range(200), "id", phrases, market), F.lit("c")).cache()
+    assert rows.count() == 1600 and rows.select("review_id").distinct().count() == 1600
+    pushed = rows.where(F.col("reviewer_id").startswith("crew"))
+    assert 160 < pushed.count() < 720 and pushed.where("rating < 4 OR verified_purchase").isEmpty()
+    spans = pushed.groupBy("product_id").agg((F.unix_seconds(F.max("review_date")) - F.unix_seconds(F.min("review_date"))).alias("s"))
+    assert spans.agg(F.max("s")).first()[0] <= market.campaign_hours * 3600
+    again = normalize_review_2023(synthetic_reviews(spark.range(200).repartition(7), "id", phrases, market), F.lit("c"))
+    assert rows.exceptAll(again).isEmpty()
 
 
 def test_ingest_continues_where_it_stopped(spark, tmp_path):
@@ -156,3 +185,5 @@ def test_latest_page(spark):
     )
     got = latest_per_url(df, F.timestamp_seconds(F.lit(10 * 86400)), 30).collect()
     assert [(r["url"], r["body"]) for r in got] == [("u", "new")]
+    tied = df.unionAll(df.where("body = 'new'").withColumn("body", F.lit("newer")))
+    assert latest_per_url(tied, F.timestamp_seconds(F.lit(10 * 86400)), 30).first()["body"] == "newer"
