@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import written_table
+
 DEPTH = 2
 FIELDS = 5
 MIN_TOKENS = 4
@@ -36,21 +38,29 @@ MARK = "<*>"
 _FIRST = -(1 << 63)
 
 
-def template_keys(tokens: Column) -> Column:
-    """Hashes of the templates that a line belongs to; none for short lines."""
-    n, lead = F.size(tokens), F.xxhash64(F.slice(tokens, 1, DEPTH))
-    rest = n - DEPTH
+def tokens_of(content: Column) -> Column:
+    """Tokens of a line, those with a digit as one mark; lines of plain words are only cut at spaces."""
+    masked = F.when(content.rlike("[0-9]"), F.regexp_replace(content, VARIABLE, MARK)).otherwise(content)
+    odd = content.startswith(" ") | content.endswith(" ") | (content == "")
+    for space in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd |= content.contains(space)
+    return F.when(odd, F.regexp_extract_all(masked, F.lit(TOKEN), F.lit(0))).otherwise(F.split(masked, " "))
+
 
-    def field(j: int) -> Column:
-        start, end = F.floor(rest * j / FIELDS).cast("int"), F.floor(rest * (j + 1) / FIELDS).cast("int")
-        return F.xxhash64(F.slice(tokens, start + DEPTH + 1, end - start))
+def _field(j: int) -> Column:
+    """Hash of the j-th field of ``tokens``."""
+    start, end = F.expr(f"(n - {DEPTH}) * {j} div {FIELDS}"), F.expr(f"(n - {DEPTH}) * {j + 1} div {FIELDS}")
+    long = F.col("n") >= MIN_FIELD_TOKENS
+    return F.when(long, F.xxhash64(F.slice("tokens", (start + DEPTH + 1).cast("int"), (end - start).cast("int"))))
 
-    fields = [field(j) for j in range(FIELDS)]
-    looser = [F.xxhash64(F.lit(j), n, lead, *fields[:j], *fields[j + 1 :]) for j in range(FIELDS)]
-    exact = F.xxhash64(F.lit(-1), tokens)
+
+def template_keys() -> Column:
+    """Hashes of the templates that a line belongs to, from those of its parts; none for short lines."""
+    fields = [f"field{j}" for j in range(FIELDS)]
+    looser = [F.xxhash64(F.lit(j), "n", "lead", *fields[:j], *fields[j + 1 :]) for j in range(FIELDS)]
     return (
-        F.when(n >= MIN_FIELD_TOKENS, F.array(exact, *looser))
-        .when(n >= MIN_TOKENS, F.array(exact))
+        F.when(F.col("n") >= MIN_FIELD_TOKENS, F.array("whole", *looser))
+        .when(F.col("n") >= MIN_TOKENS, F.array("whole"))
         .otherwise(F.array().cast("array<bigint>"))
     )
 
@@ -66,9 +76,16 @@ def line_templates(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("document"),
         F.posexplode(F.split("text", "\n")).alias("line", "content"),
     )
-    masked = F.regexp_replace("content", VARIABLE, MARK)
-    tokens = lines.select("row", "document", "line", F.regexp_extract_all(masked, F.lit(TOKEN), F.lit(0)).alias("tokens"))
-    return tokens.select("row", "document", "line", F.explode(template_keys(F.col("tokens"))).alias("template"))
+    place = ["row", "document", "line"]
+    tokens = lines.select(*place, tokens_of(F.col("content")).alias("tokens")).withColumn("n", F.size("tokens"))
+    parts = tokens.select(
+        *place,
+        "n",
+        F.xxhash64(F.lit(-1), "tokens").alias("whole"),
+        F.xxhash64(F.slice("tokens", 1, DEPTH)).alias("lead"),
+        *[_field(j).alias(f"field{j}") for j in range(FIELDS)],
+    )
+    return parts.select(*place, F.explode(template_keys()).alias("template"))
 
 
 def recurring(templates: DataFrame) -> DataFrame:
@@ -79,7 +96,7 @@ def recurring(templates: DataFrame) -> DataFrame:
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, and with ``n_lines`` and ``dropped_lines``."""
-    templates = line_templates(docs)
+    templates = written_table(line_templates(docs), "templates")
     dropped = (
         templates.join(recurring(templates), "template")
         .where("document != first")
