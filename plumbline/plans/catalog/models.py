@@ -141,7 +141,7 @@ def _features_of(df: DataFrame) -> DataFrame:
 @query("kmeans")
 def kmeans_query(spark, folder):
     data = _features_of(vectors(spark, folder))
-    return kmeans(data, 4, starts=3).transform(data).select("vec_id", F.col("prediction").alias("cluster"))
+    return kmeans(data, 4).transform(data).select("vec_id", F.col("prediction").alias("cluster"))
 
 
 @query("select_k")
@@ -161,22 +161,32 @@ def hierarchical_clusters(spark, folder):
 @query("pca")
 def pca_query(spark, folder):
     """Two components of the text and rating features, with the proxy for each point."""
+    return _pca_points(spark, folder)
+
+
+@query("pca_sample")
+def pca_sample_query(spark, folder):
+    """As many of the points as a plot can show."""
+    return sample_rows(_pca_points(spark, folder), "review_id", 2000)
+
+
+def _pca_points(spark, folder) -> DataFrame:
     df = reviews_docs(spark, folder).withColumns(text_stats("review_text"))
     columns = matrix_columns(df)
     matrix = written_table(design_matrix(df, ["review_id", "verified_purchase"]), "matrix")
     scores, _, _ = pca(matrix, columns, "review_id")
-    return sample_rows(scores.join(matrix.select("review_id", "verified_purchase"), "review_id"), "review_id", 2000)
+    return scores.join(matrix.select("review_id", "verified_purchase"), "review_id")
 
 
 @query("svd_embed")
 def svd_embed_query(spark, folder):
-    return svd_embed(written_table(reviews_docs(spark, folder), "reviews"), components=20)[0]
+    return svd_embed(written_table(reviews_docs(spark, folder), "reviews"))[0]
 
 
 @query("review_styles")
 def review_styles_query(spark, folder):
     df = written_table(reviews_docs(spark, folder), "reviews")
-    return review_styles(df, 4, components=20, starts=2)[1]
+    return review_styles(df, 4)[1]
 
 
 def _labelled(spark, folder) -> tuple[DataFrame, list[str]]:
@@ -189,7 +199,7 @@ def _labelled(spark, folder) -> tuple[DataFrame, list[str]]:
 def rf_classify(spark, folder):
     """Importances of one balanced forest on the text and rating features."""
     matrix, columns = _labelled(spark, folder)
-    model = forest(numTrees=30, maxDepth=10).fit(with_vector(balanced_weights(matrix), columns))
+    model = forest(numTrees=200, maxDepth=30).fit(with_vector(balanced_weights(matrix), columns))
     return importances(model, columns, spark)
 
 
@@ -205,7 +215,7 @@ def cv_grid(spark, folder):
 def classify_pipeline(spark, folder):
     """Both classifiers end to end on the full feature table, small grids."""
     features = written_table(docs_features(spark, folder), "features")
-    out = run_classification(features, folds=2, knn_grid=[5, 21], trees=[20], depths=[10])
+    out = run_classification(features, folds=2, trees=[20], depths=[10])
     tables = [
         out["results"][name]["roc_auc"].select(F.lit(name).alias("model"), "roc_auc")
         for name in ("knn", "random_forest")
