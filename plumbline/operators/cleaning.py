@@ -10,6 +10,7 @@ from plumbline.functions.scalars import coerce_bool, to_number
 from plumbline.functions.text import clean_text
 from plumbline.operators.skew import HOT_ROWS, join_per_key
 from plumbline.schema import REVIEW_SCHEMA, TEXT_COLUMNS, validate_schema
+from plumbline.session import written_table
 
 _WHOLE = 2.0**62
 
@@ -110,11 +111,10 @@ def filter_paid(df: DataFrame) -> DataFrame:
 
 
 def clean_reviews(df: DataFrame) -> DataFrame:
-    """Check, cast, clean texts, fill gaps, flag exact duplicates; rows are never dropped."""
-    return (
-        validate_schema(df)
-        .transform(coerce_types)
-        .transform(normalize_text)
-        .transform(fill_missing)
-        .transform(flag_exact_duplicates)
-    )
+    """Check, cast, clean texts, fill gaps, flag exact duplicates; rows are never dropped.
+
+    The cleaned rows are stored before they are flagged, since counting copies and
+    flagging rows both read them and texts should be cleaned once.
+    """
+    clean = validate_schema(df).transform(coerce_types).transform(normalize_text).transform(fill_missing)
+    return flag_exact_duplicates(written_table(clean, "clean"))
