@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from plumbline.llm.common import texts_of
+from plumbline.llm.common import ship, texts_of
 from plumbline.operators.ordering import running_totals
 from plumbline.session import written_table
 
@@ -133,6 +133,7 @@ def encode(texts: list[bytes], path: str) -> Iterator[bytes]:
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document with its end token, cut at ``size``."""
+    ship(docs.sparkSession)
     end = np.array([END], "<u4").tobytes()
 
     def run(batches):

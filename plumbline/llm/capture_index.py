@@ -36,6 +36,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import ship
 from plumbline.session import scratch_path, written_table
 
 MIN_PAYLOAD = 100
@@ -159,6 +160,7 @@ class _Writer:
 
 def write_archives(typed: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record per row of ``record_types``; captures (url_key, page_id, archive, offset, length)."""
+    ship(typed.sparkSession)
     folder = scratch_path(typed.sparkSession, "warc")
 
     def run(batches):

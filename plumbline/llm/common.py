@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
+import plumbline
+from plumbline.session import scratch_path
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever they run; done once per application."""
+    context, root = spark.sparkContext, Path(plumbline.__file__).parent
+    if context.applicationId in _SHIPPED or not root.is_dir():
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, str(file.relative_to(root.parent)))
+    uri = f"{scratch_path(spark, 'plumbline')}.zip"
+    path = context._jvm.org.apache.hadoop.fs.Path(uri)
+    stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
+    context.addPyFile(uri)
+    _SHIPPED.add(context.applicationId)
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -24,6 +50,7 @@ def add_columns(
     compute: Callable[[pa.RecordBatch], list[pa.Array]],
 ) -> DataFrame:
     """``df`` with columns computed batch by batch; columns of those names are replaced."""
+    ship(df.sparkSession)
     names = [f.name for f in fields]
     kept = [c for c in df.columns if c not in names]
     # ``compute`` sees every column of ``df``; only ``kept`` ones are handed back.

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from plumbline.llm.common import add_columns, texts_of
+from plumbline.llm.common import add_columns, ship, texts_of
 from plumbline.operators.skew import block_pairs
 from plumbline.session import written_table
 
@@ -197,6 +197,7 @@ def links(classes: DataFrame, budget: int = BUDGET, subtree_rows: int = SUBTREE_
 
     ``classes`` has one row (fingerprint, anonymous, node) per fingerprint.
     """
+    ship(classes.sparkSession)
     blocks = 64 // BLOCK_BITS
     if budget >= blocks:
         raise ValueError(f"a budget of {budget} bits needs more than {blocks} blocks")

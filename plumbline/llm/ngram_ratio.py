@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField
 
-from plumbline.llm.common import add_columns, texts_of
+from plumbline.llm.common import add_columns, ship, texts_of
 
 GRAM = 4
 BUCKETS = 1 << 16
@@ -95,6 +95,7 @@ def bucket_counts(docs: DataFrame, trusted: np.ndarray) -> DataFrame:
 
     Each task adds up its own part first and hands on one row per bucket it saw.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trusted)
 
     def run(batches):
@@ -118,7 +119,8 @@ def bucket_counts(docs: DataFrame, trusted: np.ndarray) -> DataFrame:
                     sizes[side] += len(buckets)
                     if sizes[side] >= _WINDOW:
                         flush(side)
-        flush(0), flush(1)
+        for side in (0, 1):
+            flush(side)
         seen = np.flatnonzero(totals.sum(axis=0))
         yield pa.RecordBatch.from_arrays(
             [pa.array(seen), pa.array(totals.sum(axis=0)[seen]), pa.array(totals[1][seen])],

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import ship
+
 K = 10
 SCALE = 1024
 # Sums over up to 1,024 components stay inside 64 bits.
@@ -84,6 +86,7 @@ def remaining(by_dimension: np.ndarray, cuts: list[int]) -> np.ndarray:
 
 def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all vectors for each vector that ``is_query`` picks."""
+    ship(vectors.sparkSession)
     rows = whole_vectors(vectors)
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     n, n_asked = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
