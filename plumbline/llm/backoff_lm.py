@@ -43,18 +43,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import texts_of
+from plumbline.llm.common import ship, texts_of
 from plumbline.session import written_table
 
 ORDER = 3
 # Weight of the lower state, in tokens, for contexts of one token and of two; chosen on held-out texts.
 WEIGHTS = (3000.0, 5.0)
 FOLDS, HELD_OUT = 5, 1
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 12 << 20
 _END = xxhash.xxh64_intdigest(b"", 1)
 _BEGIN = xxhash.xxh64_intdigest(b"", 2)
 _NARROW = 6
+_ROWS = 500
 
 ASKED = "shard int, block long, grams int, n long, checksum long, keys binary, counts binary"
 ANSWERED = (
@@ -93,6 +94,15 @@ def _mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x
 
 
+def marked_tokens(text: bytes) -> np.ndarray:
+    """Hashes of a text's tokens, led by the begin mark; its words are not kept."""
+    words = text.lower().split()
+    out = np.empty(len(words) + 2, np.uint64)
+    out[0], out[-1] = _BEGIN, _END
+    out[1:-1] = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=0), words), np.uint64, len(words))
+    return out
+
+
 class Grams:
     """The n-grams of some texts: ``keys[k]`` sorted, ``at[k]`` the place of each token's own.
 
@@ -101,15 +111,11 @@ class Grams:
     """
 
     def __init__(self, texts: list[bytes], order: int = ORDER):
-        words = [t.lower().split() for t in texts]
-        sizes = np.array([len(w) + 2 for w in words], np.int64)
-        tokens = np.empty(int(sizes.sum()), np.uint64)
+        parts = [marked_tokens(t) for t in texts]
+        sizes = np.array([len(p) for p in parts], np.int64)
+        tokens = np.concatenate(parts)
+        del parts
         self.starts = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
-        for start, own in zip(self.starts.tolist(), words):
-            tokens[start] = _BEGIN
-            hashed = map(partial(xxhash.xxh64_intdigest, seed=0), own)
-            tokens[start + 1 : start + 1 + len(own)] = np.fromiter(hashed, np.uint64, len(own))
-            tokens[start + 1 + len(own)] = _END
         place = np.arange(len(tokens)) - np.repeat(self.starts, sizes)
         self.sizes, self.real = sizes, place > 0
         self.ok, self.keys, self.at = {}, {}, {}
@@ -119,7 +125,7 @@ class Grams:
                 gram = _mix(np.r_[gram[:1], gram[:-1]], tokens)
             self.ok[k] = self.real & (place >= k - 1)
             self.keys[k], inside = np.unique(gram[self.ok[k]], return_inverse=True)
-            self.at[k] = np.zeros(len(tokens), np.int64)
+            self.at[k] = np.zeros(len(tokens), np.int32)
             self.at[k][self.ok[k]] = inside
 
     def counts(self, k: int, wanted: np.ndarray) -> np.ndarray:
@@ -163,11 +169,13 @@ def _blocks(batches, block_bytes):
     """(block, ids, held_out, texts) of bounded size, numbered within the partition."""
     base, number = TaskContext.get().partitionId() << 24, 0
     ids, held, texts, size = [], [], [], 0
-    for batch in batches:
+    for part in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
         for key, out, text in zip(
-            batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), texts_of(batch, "text")
+            part.column("doc_id").to_pylist(), part.column("held_out").to_pylist(), texts_of(part, "text")
         ):
-            ids.append(key), held.append(out), texts.append(text)
+            ids.append(key)
+            held.append(out)
+            texts.append(text)
             size += len(text)
             if size >= block_bytes:
                 yield base + number, ids, held, texts
@@ -307,6 +315,7 @@ def score_documents(
     shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """Scores of all texts by a model of those that are not held out."""
+    ship(docs.sparkSession)
     own = folded(docs)
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     answers = written_table(answered(asked(own, max(1, -(-size // shard_bytes)), order, block_bytes)), "gram-counts")
