@@ -73,7 +73,7 @@ def assign_nearest(df: DataFrame, id_col: str, vector: str, centres: list[list[f
     return df.select(id_col, F.array_min(options)["i"].alias("cluster"))
 
 
-def choose_k(vectors: DataFrame, grid: list[int] = K_GRID, starts: int = 1, seed: int = SEED) -> DataFrame:
+def choose_k(vectors: DataFrame, grid: list[int] = K_GRID, starts: int = STARTS, seed: int = SEED) -> DataFrame:
     """(k, silhouette): Spark's squared Euclidean silhouette, linear in the rows."""
     n = vectors.count()
     judge = ClusteringEvaluator(metricName="silhouette")
