@@ -15,6 +15,7 @@ from plumbline.llm import (
     link_trust,
     ngram_ratio,
     preference_format,
+    suffix_repeats,
     template_tree,
     vertical_topk,
 )
@@ -84,3 +85,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     ratio = ngram_ratio.fit(docs, table(spark, folder, "labels"))
     return ngram_ratio.judge(docs, ratio).drop("text")
+
+
+@query("op11_suffix_repeats")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_repeats.digest(suffix_repeats.remove_repeats(table(spark, folder, "documents"), with_text=False))
