@@ -11,10 +11,12 @@ from plumbline.llm import (
     best_two_fit,
     byte_bpe,
     capture_index,
+    filter_audit,
     hamming_trie,
     link_trust,
     ngram_ratio,
     preference_format,
+    source_audit,
     suffix_repeats,
     template_tree,
     vertical_topk,
@@ -90,3 +92,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_suffix_repeats")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_repeats.digest(suffix_repeats.remove_repeats(table(spark, folder, "documents"), with_text=False))
+
+
+@query("op12_filter_audit", filter_audit.SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op13_source_audit", source_audit.SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return source_audit.divergences(table(spark, folder, "documents"))
