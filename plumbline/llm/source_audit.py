@@ -45,7 +45,7 @@ SCALE_STEPS = (1000, 1000, 1000)
 TOP = 10
 SLICE_BYTES = 4 << 20
 HELD_ROWS = 400_000
-SHARD_TERMS = 50_000
+SHARD_TERMS = 8_192
 _CELLS = 1 << 20
 
 GROUP = ["lang", "source"]
