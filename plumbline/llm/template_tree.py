@@ -10,6 +10,11 @@ A template that occurs in more than one document is recurring. Its lines stay in
 the document with the smallest id and are dropped from all others. Lines of under
 ``MIN_TOKENS`` tokens, blank ones among them, are left alone.
 
+With ``spare``, near copies are left whole: documents of which so large a share of
+words, by Jaccard similarity, lies in lines that recur in one same earlier
+document. Lines that only such a copy held before go to the next document, so that
+a stage which removes copies loses no text. Without it copies are cut down like all.
+
 Everything is a built-in function of DataFrames. A template is a 64-bit hash,
 its documents are told by their smallest and largest id, so a very common line
 costs a row per task before the shuffle.
@@ -25,12 +30,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.skew import join_per_key
 from plumbline.session import written_table
 
 DEPTH = 2
 FIELDS = 5
 MIN_TOKENS = 4
 MIN_FIELD_TOKENS = 15
+HOT_ROWS = 2_000
 # Words as in the other operators: runs of anything but ASCII white space.
 TOKEN = r"[^ \t-\r]+"
 VARIABLE = r"[^ \t-\r]*[0-9][^ \t-\r]*"
@@ -69,11 +76,15 @@ def _row() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def line_templates(docs: DataFrame) -> DataFrame:
-    """(row, document, line, template): one row per template of every line."""
+def _document() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))
+
+
+def line_templates(docs: DataFrame, sized: bool = False) -> DataFrame:
+    """(row, document, line, template): one row per template of every line; ``sized``: and its tokens ``n``."""
     lines = docs.select(
         _row().alias("row"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("document"),
+        _document().alias("document"),
         F.posexplode(F.split("text", "\n")).alias("line", "content"),
     )
     place = ["row", "document", "line"]
@@ -85,7 +96,7 @@ def line_templates(docs: DataFrame) -> DataFrame:
         F.xxhash64(F.slice("tokens", 1, DEPTH)).alias("lead"),
         *[_field(j).alias(f"field{j}") for j in range(FIELDS)],
     )
-    return parts.select(*place, F.explode(template_keys()).alias("template"))
+    return parts.select(*place, *(["n"] if sized else []), F.explode(template_keys()).alias("template"))
 
 
 def recurring(templates: DataFrame) -> DataFrame:
@@ -94,16 +105,41 @@ def recurring(templates: DataFrame) -> DataFrame:
     return ids.where("first != last").select("template", "first")
 
 
-def drop_recurring_lines(docs: DataFrame) -> DataFrame:
+def copies(hits: DataFrame, docs: DataFrame, spare: float) -> DataFrame:
+    """(row, document): rows that resemble one earlier document line by line."""
+    sizes = docs.select(_row().alias("row"), _document().alias("document"), F.size(tokens_of(F.col("text"))).alias("words"))
+    sizes = sizes.groupBy("row", "document").agg(F.max("words").alias("words"))
+    shared = hits.groupBy("row", "document", "first", "line").agg(F.max("n").alias("n"))
+    shared = shared.groupBy("row", "document", "first").agg(F.sum("n").alias("shared"))
+    own = shared.join(sizes.select("row", "words"), "row")
+    enough = own.where(F.col("shared") >= spare * F.col("words"))
+    firsts = sizes.groupBy(F.col("document").alias("first")).agg(F.max("words").alias("first_words"))
+    met = join_per_key(enough, firsts, ["first"], "row", "inner", enough.groupBy("first").count(), HOT_ROWS)
+    alike = F.col("shared") >= spare * (F.col("words") + F.col("first_words") - F.col("shared"))
+    return met.where(alike).select("row", "document").distinct()
+
+
+def _without_copies(hits: DataFrame, docs: DataFrame, spare: float) -> DataFrame:
+    """``hits`` but for those of near copies, and of lines that no document but near copies held before."""
+    found = written_table(copies(hits, docs, spare), "line-copies")
+    hits = hits.join(found.select("row"), "row", "left_anti")
+    keepers = found.select(F.col("document").alias("first")).distinct().withColumn("copy", F.lit(True))
+    marked = join_per_key(hits, keepers, ["first"], "row", "left", hits.groupBy("first").count(), HOT_ROWS)
+    marked = written_table(marked, "line-hits")
+    moved = marked.where("copy")
+    heirs = moved.groupBy("template").agg(F.min("document").alias("heir"))
+    left = join_per_key(moved, heirs, ["template"], "row", "inner", moved.groupBy("template").count(), HOT_ROWS)
+    names = ["row", "document", "line"]
+    return marked.where("copy IS NULL").select(*names).union(left.where("document != heir").select(*names))
+
+
+def drop_recurring_lines(docs: DataFrame, spare: float | None = None) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, and with ``n_lines`` and ``dropped_lines``."""
-    templates = written_table(line_templates(docs), "templates")
-    dropped = (
-        templates.join(recurring(templates), "template")
-        .where("document != first")
-        .groupBy("row")
-        .agg(F.collect_set("line").alias("__gone"))
-        .withColumnRenamed("row", "__row")
-    )
+    templates = written_table(line_templates(docs, spare is not None), "templates")
+    hits = templates.join(recurring(templates), "template").where("document != first")
+    if spare is not None:
+        hits = _without_copies(written_table(hits, "line-hits"), docs, spare)
+    dropped = hits.groupBy("row").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("row", "__row")
     lines = F.split("text", "\n")
     own = docs.drop("n_lines", "dropped_lines")
     joined = own.withColumn("__row", _row()).join(dropped, "__row", "left").withColumn("__lines", lines)
