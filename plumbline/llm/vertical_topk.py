@@ -9,16 +9,22 @@ k-th best certain one; survivors are compacted and go on.
 Every block of candidates meets every block of queries in a task of bounded size
 and returns at most k rows per query; the rows of a query are merged by rank.
 
-Cases: vectors that are null, empty of numbers by holding null, NaN or infinite
-components, or with components beyond ``LIMIT`` after scaling take no part, and so
-do rows without an id. A shorter vector counts as padded with zeros. Ties go to
-the smaller id. Candidates with the query's own id are left out; repeated rows
-under another id are candidates each. Of query rows with one id the smallest
-vector asks. No vectors give no rows.
+Vectors with a component of ``LIMIT`` or more after scaling could overflow 64-bit
+sums. They are scored in floating point with a bound on its error, and those that
+the bound leaves among the k best once more in whole numbers of any size.
+
+Cases: vectors that are null or hold null, NaN or infinite components take no
+part, and so do rows without an id. A shorter vector counts as padded with zeros.
+Ties go to the smaller id. A score beyond 64 bits is given as the nearest 64-bit
+number and ranks as that. Candidates with the query's own id are left out;
+repeated rows under another id are candidates each. Of query rows with one id the
+smallest vector asks. No vectors give no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,26 +35,43 @@ from plumbline.llm.common import ship
 
 K = 10
 SCALE = 1024
-# Sums over up to 1,024 components stay inside 64 bits.
+# Below it, sums over up to 1,024 components stay inside 64 bits.
 LIMIT = 1 << 26
+LONG = (1 << 63) - 1
 DIMENSIONS = 16
 CANDIDATE_ROWS = 8192
 QUERY_ROWS = 1024
 
 
-def whole_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, vector): vectors that take part, scaled to whole numbers."""
-    finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) * SCALE < LIMIT))
-    return vectors.where(F.col("vec_id").isNotNull() & finite).select(
-        F.col("vec_id").cast("long").alias("vec_id"),
-        F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE)).alias("vector"),
+def usable_vectors(vectors: DataFrame) -> DataFrame:
+    """(vec_id, vector): vectors that take part, as doubles."""
+    number = F.col("vec_id").isNotNull() & F.forall(
+        "embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
+    )
+    return vectors.where(number).select(
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")
     )
 
 
+def scaled(vector: list[float]) -> np.ndarray:
+    """floor(SCALE * x) of the components as doubles: exact, or infinite where it leaves their range."""
+    with np.errstate(over="ignore"):
+        return np.floor(np.asarray(vector, float) * SCALE)
+
+
+def whole(vector: list[float]) -> list[int]:
+    """floor(SCALE * x) of the components as Python integers."""
+    return [math.floor(x * SCALE) if abs(x) < LIMIT else math.floor(x) * SCALE + math.floor(x % 1 * SCALE) for x in vector]
+
+
+def is_wide(vector: list[float]) -> bool:
+    return bool(vector) and max(map(abs, vector)) * SCALE >= LIMIT
+
+
 class Vertical:
     """A block of candidates by dimension, with the norm that each has left after each block of dimensions."""
 
-    def __init__(self, vectors: list[list[int]], ids: np.ndarray, width: int):
+    def __init__(self, vectors: list[np.ndarray], ids: np.ndarray, width: int):
         flat = np.zeros((len(vectors), width), np.int64)
         for row, v in zip(flat, vectors):
             row[: len(v)] = v
@@ -72,9 +95,43 @@ class Vertical:
             sure = np.partition(scores - slack, len(alive) - k)[len(alive) - k]
             keep = scores + slack >= sure
             alive, scores = alive[keep], scores[keep]
-        # Ids ascend, so a stable sort leaves ties with the smaller id first.
-        top = np.argsort(-scores, kind="stable")[:k]
-        return self.ids[alive[top]], scores[top]
+        return top(self.ids[alive], scores, k)
+
+
+class Wide:
+    """A block of candidates of any size: floating-point scores with an error bound, then whole numbers."""
+
+    def __init__(self, vectors: list[list[float]], ids: np.ndarray, width: int):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.vectors = ids[order], [vectors[i] for i in order]
+        self.approximate = np.zeros((len(vectors), width))
+        for row, v in zip(self.approximate, self.vectors):
+            row[: len(v)] = scaled(v)
+
+    def best(self, query: list[float], own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best, best first."""
+        alive = np.flatnonzero(self.ids != own)
+        if len(alive) > k:
+            asked = np.zeros(self.approximate.shape[1])
+            asked[: len(query)] = scaled(query)
+            with np.errstate(over="ignore", invalid="ignore"):
+                scores = self.approximate[alive] @ asked
+                # Each product and each sum is off by at most one part in 2^53 of the absolute sum.
+                slack = (np.abs(self.approximate[alive]) @ np.abs(asked)) * (2 * len(asked) + 2) * 2.0**-53
+                low, high = scores - slack, scores + slack
+            low[~np.isfinite(low)], high[~np.isfinite(high)] = -np.inf, np.inf
+            # Scores beyond 64 bits count as equal.
+            low, high = np.clip(low, -(2.0**63), 2.0**63), np.clip(high, -(2.0**63), 2.0**63)
+            alive = alive[high >= np.partition(low, len(alive) - k)[len(alive) - k]]
+        numbers = whole(query)
+        exact = [sum(a * b for a, b in zip(numbers, whole(self.vectors[i]))) for i in alive]
+        return top(self.ids[alive], np.array([min(max(s, -LONG - 1), LONG) for s in exact], np.int64), k)
+
+
+def top(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k highest scores, ties to the smaller id; ``~`` turns the order round without overflow."""
+    order = np.lexsort((ids, ~scores))[:k]
+    return ids[order], scores[order]
 
 
 def remaining(by_dimension: np.ndarray, cuts: list[int]) -> np.ndarray:
@@ -87,7 +144,7 @@ def remaining(by_dimension: np.ndarray, cuts: list[int]) -> np.ndarray:
 def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all vectors for each vector that ``is_query`` picks."""
     ship(vectors.sparkSession)
-    rows = whole_vectors(vectors)
+    rows = usable_vectors(vectors)
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     n, n_asked = rows.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     blocks, groups = max(1, -(-n // CANDIDATE_ROWS)), max(1, -(-n_asked // QUERY_ROWS))
@@ -105,11 +162,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         if left.num_rows and right.num_rows:
             own, theirs = left.column("vector").to_pylist(), right.column("vector").to_pylist()
             width = max(map(len, own + theirs), default=0)
-            block = Vertical(own, left.column("vec_id").to_numpy(), width)
-            for key, v in zip(right.column("vec_id").to_pylist(), theirs):
-                query = np.zeros(width, np.int64)
-                query[: len(v)] = v
-                ids, scores = block.best(query, key, k)
+            keys, asked = left.column("vec_id").to_numpy(), right.column("vec_id").to_pylist()
+            wide = np.fromiter(map(is_wide, own), bool, len(own))
+            every = Wide(own, keys, width) if any(map(is_wide, theirs)) else None
+            large = Wide([own[i] for i in np.flatnonzero(wide)], keys[wide], width)
+            plain = [scaled(own[i]).astype(np.int64) for i in np.flatnonzero(~wide)]
+            block = Vertical(plain, keys[~wide], width)
+            for key, v in zip(asked, theirs):
+                if is_wide(v):
+                    ids, scores = every.best(v, key, k)
+                else:
+                    query = np.zeros(width, np.int64)
+                    query[: len(v)] = scaled(v)
+                    ids, scores = block.best(query, key, k)
+                    if len(large.ids):
+                        more = large.best(v, key, k)
+                        ids, scores = top(np.append(ids, more[0]), np.append(scores, more[1]), k)
                 for column, values in zip(out, ([key] * len(ids), ids.tolist(), scores.tolist())):
                     column.extend(values)
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])

@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -58,12 +59,27 @@ def test_cases(spark):
     df = spark.createDataFrame(data, SCHEMA).withColumn("score", F.lit("clash"))
     one = 1024 * 1024
     assert found(df, F.col("vec_id") == 0) == [
-        (0, 1, 6, 5 * one), (0, 2, 6, 5 * one), (0, 3, 5, one), (0, 4, 7, 0), (0, 5, 9, -one)
+        (0, 1, 8, 2**63 - 1), (0, 2, 6, 5 * one), (0, 3, 6, 5 * one), (0, 4, 5, one), (0, 5, 7, 0), (0, 6, 9, -one)
     ]
-    assert found(df, F.col("vec_id") == 6, 1) == [(6, 1, 0, 5 * one)]
+    assert found(df, F.col("vec_id") == 6, 1) == [(6, 1, 8, 2**63 - 1)]
     assert found(spark.createDataFrame([], SCHEMA), F.col("vec_id") == 0) == []
 
 
+def test_large_components_are_scored_exactly(spark):
+    rng = random.Random(5)
+    # Scores of neighbours differ by less than floating point can tell.
+    data = [(i, [70000.0 + rng.randrange(3) / 1024 for _ in range(12)]) for i in range(60)]
+    data += [(60 + i, [rng.uniform(-5e5, 5e5) for _ in range(12)]) for i in range(40)]
+    data += [(100 + i, [rng.gauss(0, 1) for _ in range(12)]) for i in range(60)]
+    df = spark.createDataFrame(data, SCHEMA)
+    assert found(df, F.col("vec_id") % 10 == 0) == slow(data, lambda i: i % 10 == 0)
+
+
+@pytest.mark.parametrize("value", [1.7e308, -2.5, 65535.9999, 65536.25, -70000.0005, 2.0**60 + 512, 3e22])
+def test_whole_numbers(value):
+    assert vertical_topk.whole([value]) == [math.floor(Fraction(value) * 1024)]
+
+
 def test_query_equals_its_sql(spark):
     folder = "/root/testdata/sf0.01"
     assert compare(QUERIES["op7_vertical_topk"](spark, folder), connect(folder), ORACLES["op7_vertical_topk"]) == ""
