@@ -16,7 +16,13 @@ from plumbline.operators.behavior import (
 )
 from plumbline.operators.identity import with_row_id
 from plumbline.operators.matrix import design_matrix, matrix_columns
-from plumbline.operators.near_duplicates import add_near_duplicate_features, max_sibling_similarity
+from plumbline.operators.near_duplicates import (
+    add_near_duplicate_features,
+    bounded_searches,
+    candidate_pairs,
+    first_partners,
+    max_sibling_similarity,
+)
 from plumbline.operators.ordering import hash_positions, quantiles
 from plumbline.operators.sampling import sample_rows, stratified_folds, stratified_split
 from plumbline.operators.vectors import term_counts, tfidf
@@ -126,6 +132,59 @@ def test_near_duplicates_in_blocks_and_with_hot_groups(spark, block_rows, hot_ro
         assert got[rid] == pytest.approx(expected.get(rid, 0.0), abs=1e-9)
 
 
+@pytest.mark.parametrize("candidates", [0, 6, 10**6])
+def test_near_duplicates_by_bounds(spark, candidates):
+    rng = random.Random(11)
+    common, rare = [f"c{i}" for i in range(8)], [f"r{i}" for i in range(150)]
+    texts = []
+    for n in range(90):
+        words = rng.choices(common, k=4) + rng.choices(rare, k=8)
+        if n and rng.random() < 0.6:
+            words = rng.choice(texts)[1].split()
+            words[rng.randrange(len(words))] = rng.choice(rare)
+        texts.append((f"t{n}", " ".join(words)))
+    df = spark.createDataFrame([(i, "g", t) for i, t in texts], "review_id string, product_id string, review_text string")
+    got = by_id(
+        max_sibling_similarity(df, block_rows=16, candidates=candidates), "max_intra_product_similarity"
+    )
+    expected = brute_force({"g": texts})
+    assert got == pytest.approx(expected, abs=1e-9)
+
+
+def test_candidates_of_a_hot_group_grow_with_its_rows(spark):
+    """Families of near copies in one group: pairs met through the index stay a few for each row."""
+
+    def met(families):
+        rng, rows = random.Random(4), []
+        for f in range(families):
+            base = [f"f{f}w{i}" for i in range(20)]
+            for k in range(6):
+                words = base[:]
+                words[rng.randrange(20)] = f"own{f}x{k}"
+                rows.append(("g", f * 6 + k, 0, families * 6, sorted(words)))
+        df = {}
+        for *_, words in rows:
+            for w in words:
+                df[w] = df.get(w, 0) + 1
+        number = {w: i for i, w in enumerate(sorted(df))}
+        data = []
+        for g, s1, s2, n, words in rows:
+            words = sorted(words, key=lambda w: (-df[w], w))
+            data.append((g, s1, s2, n, [number[w] for w in words], [20**-0.5] * 20, [df[w] for w in words]))
+        vectors = spark.createDataFrame(
+            data, "g string, s1 long, s2 long, n_bags long, terms array<long>, weights array<double>, dfs array<long>"
+        )
+        firsts = first_partners(vectors, 64, 10**6)
+        searches = bounded_searches(vectors, firsts, 256)
+        assert not searches.where("dense").count()
+        pairs = candidate_pairs(searches, 256).cache()
+        return len(data), pairs.count(), pairs.where("bound > best").count()
+
+    small, large = met(20), met(80)
+    assert large[1] <= 4 * small[1] * 1.3 and large[1] <= 6 * large[0]
+    assert large[2] <= large[1]
+
+
 def test_feature_table_and_matrix(cleaned):
     table = build_feature_table(cleaned).cache()
     assert table.count() == 9
