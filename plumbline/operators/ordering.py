@@ -1,8 +1,9 @@
 """Ranks, running totals and quantiles over whole columns without one big sort.
 
-Ordered values fall into buckets by a fixed, order-keeping rule. Totals per
-bucket are small and are accumulated first; inside a bucket an ordinary window
-does the rest. No task sees more than one bucket.
+Ordered values fall into buckets by an order-keeping rule, for values of any range
+by splitters from a quantile sketch. Totals per bucket are small and are
+accumulated first; inside a bucket an ordinary window does the rest. No task sees
+more than one bucket.
 """
 
 from __future__ import annotations
@@ -11,11 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.session import written_table
+
 # Buckets per factor e of a value's size, and a shift that keeps the buckets of
 # every positive double above zero.
 _PER_E = 1024
 _SHIFT = 1 << 20
 _HASH_DIGITS = 4
+# Buckets between splitters, a power of two. The sketch places a splitter to within
+# a tenth of a bucket, so a bucket holds at most 1.2 / BUCKETS of the rows it counted.
+BUCKETS = 1024
+_SKETCH_ACCURACY = 10 * BUCKETS
 
 
 def value_bucket(value: Column) -> Column:
@@ -24,6 +31,27 @@ def value_bucket(value: Column) -> Column:
     return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
 
 
+def with_even_bucket(df: DataFrame, value: str, name: str = "__bucket") -> DataFrame:
+    """Add a non-decreasing bucket number of a double column, with about equally many rows in each bucket.
+
+    Splitters come from one pass of a mergeable quantile sketch over ``df``, inside
+    the plan that uses them. Rows should hold distinct values: equal ones share a
+    bucket. Nulls go to the first bucket and NaN, which sorts last, to the last.
+    """
+    shares = ", ".join(f"{k / BUCKETS!r}D" for k in range(1, BUCKETS))
+    splitters = df.select(
+        F.expr(f"percentile_approx(`{value}`, array({shares}), {_SKETCH_ACCURACY})").alias("splitters")
+    ).scalar()
+    halves = F.array(*[F.lit(BUCKETS >> k) for k in range(1, BUCKETS.bit_length())])
+
+    def step(below: Column, half: Column) -> Column:
+        passed = F.get("__splitters", below + half - 1) <= F.col(value)
+        return F.when(passed, below + half).otherwise(below)
+
+    placed = df.withColumn("__splitters", splitters)
+    return placed.withColumn(name, F.aggregate(halves, F.lit(0), step).cast("long")).drop("__splitters")
+
+
 def hash_key(id_col: Column | str, seed: int) -> Column:
     """Pseudo-random order of ids that any partitioning and any engine reproduces."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
@@ -34,17 +62,19 @@ def running_totals(
     df: DataFrame,
     strata: list[str],
     order: list[str],
-    bucket: Column,
+    bucket: Column | str,
     sums: dict[str, Column],
 ) -> DataFrame:
     """Add, per stratum and in order, the running total of each column of ``sums``.
 
     ``<name>`` is the total up to and including the row, ``<name>_all`` the total
-    of the stratum. ``order`` must agree with ``bucket``; rows that it does not
-    tell apart come one after the other.
+    of the stratum. ``order`` must agree with ``bucket``, a number or the name of a
+    double column to cut evenly; rows that it does not tell apart come one after
+    the other.
     """
     by = [*strata, "__bucket"]
-    marked = df.withColumn("__bucket", bucket).withColumns({f"__{k}": c for k, c in sums.items()})
+    cut = with_even_bucket(df, bucket) if isinstance(bucket, str) else df.withColumn("__bucket", bucket)
+    marked = cut.withColumns({f"__{k}": c for k, c in sums.items()})
     totals = marked.groupBy(*by).agg(*[F.sum(f"__{k}").alias(f"__t_{k}") for k in sums])
     whole = W.partitionBy(*strata) if strata else W.partitionBy(F.lit(0))
     before = whole.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -81,8 +111,10 @@ def quantiles(
     counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(
         F.count(F.lit(1)).alias("__n")
     )
+    counted = written_table(counted, "values")
     number = F.col(value).cast("double")
-    ranked = running_totals(counted, group, [value], value_bucket(number), {"__upto": F.col("__n")})
+    counted = counted.withColumn("__value", number)
+    ranked = running_totals(counted, group, [value], "__value", {"__upto": F.col("__n")})
 
     def at(index: Column) -> Column:
         hit = (F.col("__upto") - F.col("__n") <= index) & (index < F.col("__upto"))
