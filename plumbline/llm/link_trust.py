@@ -9,8 +9,9 @@ Links are those of the pages' HTML to other hosts, counted, and one each way
 between a host and the domain above it.
 
 Mass is counted in whole units, so that sums do not depend on their order and
-every engine finds the same verdicts. Rounds are the usual power iteration; what
-is still moving after the last is below ``DAMPING`` to that power.
+every engine finds the same verdicts. Rounds are the usual power iteration from the
+seeds' own part, in which mass only grows; they end once ``ROUNDS_PER_TABLE`` rounds
+have added less than a ``SETTLED``-th of one kind's mass.
 
 Cases: a null url or one without ``://`` has empty host and path, no links and no
 rule, and is allowed, as is every host that neither trust nor distrust reaches. A
@@ -19,6 +20,8 @@ null html has no links. Repeated rows count each. No pages give no rows.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +37,8 @@ RULES = [
 ]
 UNITS = 10**15
 DAMPING = 85  # percent
-ROUNDS = 16
 ROUNDS_PER_TABLE = 4
+SETTLED = 10_000
 RATIO = 1
 # Links of one host that go through one task together.
 HOT_LINKS = 100_000
@@ -88,10 +91,10 @@ def host_links(pages: DataFrame) -> DataFrame:
     return linked.union(both).where("src != dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, host, mass) after ``rounds``: seeds (kind, host, n) spread over links (kind, src, dst, n).
+def propagate(links: DataFrame, seeds: DataFrame, settled: int = SETTLED) -> DataFrame:
+    """(kind, host, mass) once settled: seeds (kind, host, n) spread over links (kind, src, dst, n).
 
-    A host with very many links is cut into parts, so its links spread over tasks.
+    The driver sees one total per written table. A host with very many links is cut into parts, so its links spread over tasks.
     """
     hosts = links.groupBy("kind", "src").agg(
         F.sum("n").alias("total"), F.ceil(F.count("*") / HOT_LINKS).cast("int").alias("parts")
@@ -107,10 +110,17 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     unit = F.lit(0).cast("long")
     for kind, n in sums.items():
         unit = F.when(F.col("kind") == kind, F.lit(UNITS // n)).otherwise(unit)
-    start = written_table(seeds.select("kind", "host", (unit * F.col("n")).alias("mass")), "seeds")
+    start = seeds.select("kind", "host", (unit * F.col("n")).alias("mass"))
     fresh = start.select("kind", "host", F.expr(f"mass * {100 - DAMPING} div 100").alias("mass"))
-    mass = start
-    for i in range(1, rounds + 1):
+    fresh = written_table(fresh, "seeds")
+    mass, before = fresh, 0
+    for i in itertools.count():
+        if i % ROUNDS_PER_TABLE == 0:
+            mass = written_table(mass, "mass") if i else mass
+            total = mass.agg(F.sum("mass")).first()[0] or 0
+            if total - before < UNITS // settled:
+                return mass
+            before = total
         shares = mass.join(hosts, ["kind", "host"]).select(
             "kind", "host", F.expr(f"mass * {DAMPING} div (100 * total)").alias("share"),
             F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
@@ -119,12 +129,9 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
             "kind", F.col("dst").alias("host"), (F.col("share") * F.col("n")).alias("mass")
         )
         mass = fresh.union(moved).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if i % ROUNDS_PER_TABLE == 0 or i == rounds:
-            mass = written_table(mass, "mass")
-    return mass
 
 
-def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, settled: int = SETTLED) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust)"""
     marked = ruled(pages.select("page_id", F.col("url").cast("string").alias("url"), "html"), rules)
     links = written_table(host_links(marked), "host-links")
@@ -134,7 +141,7 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
     seeds = (
         marked.where("ruling IS NOT NULL AND host != ''").groupBy(kind.alias("kind"), "host").agg(F.count("*").alias("n"))
     )
-    mass = propagate(forward.union(backward), seeds, rounds)
+    mass = propagate(forward.union(backward), seeds, settled)
     scores = written_table(
         mass.groupBy("host").agg(
             *[F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(0)).alias(k) for k in ("trust", "distrust")]
@@ -160,16 +167,8 @@ def _case_sql(column: int) -> str:
     return f"CASE{whens} END"
 
 
-def _round_sql(i: int) -> str:
-    return f"""m{i} AS (
-  SELECT kind, host, CAST(sum(mass) AS BIGINT) AS mass FROM (
-    SELECT kind, host, mass * {100 - DAMPING} // 100 AS mass FROM m0
-    UNION ALL SELECT m.kind, e.dst, m.mass * {DAMPING} // (100 * total) * n FROM m{i - 1} m JOIN edges e ON m.kind = e.kind AND m.host = e.src)
-  GROUP BY kind, host)"""
-
-
 SQL = f"""
-WITH urls AS (
+WITH RECURSIVE urls AS (
   SELECT page_id, html, translate(coalesce(regexp_extract(url, {_quoted(URL)}, 1), ''), '{_UPPER}', '{_LOWER}') AS host,
     coalesce(regexp_extract(url, {_quoted(URL)}, 2), '') AS path FROM pages),
 marked AS (SELECT *, {_case_sql(1)} AS rule, {_case_sql(0)} AS ruling FROM urls),
@@ -187,11 +186,25 @@ edges AS (
 seeds AS (
   SELECT CASE WHEN ruling = 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n
   FROM marked WHERE ruling IS NOT NULL AND host != '' GROUP BY 1, 2),
-m0 AS (SELECT kind, host, {UNITS} // CAST(sum(n) OVER (PARTITION BY kind) AS BIGINT) * n AS mass FROM seeds),
-{", ".join(_round_sql(i) for i in range(1, ROUNDS + 1))},
+fresh AS (
+  SELECT kind, host, {UNITS} // CAST(sum(n) OVER (PARTITION BY kind) AS BIGINT) * n * {100 - DAMPING} // 100 AS mass
+  FROM seeds),
+rounds AS (
+  SELECT 0 AS i, kind, host, CAST(mass AS BIGINT) AS mass, CAST(0 AS HUGEINT) AS before FROM fresh
+  UNION ALL (
+    WITH now AS (SELECT *, sum(mass) OVER () AS total FROM rounds),
+    going AS (
+      SELECT i, kind, host, mass, CASE WHEN i % {ROUNDS_PER_TABLE} = 0 THEN total ELSE before END AS before
+      FROM now WHERE i % {ROUNDS_PER_TABLE} != 0 OR total - before >= {UNITS // SETTLED})
+    SELECT i + 1, kind, host, CAST(sum(mass) AS BIGINT), CAST(before AS HUGEINT) FROM (
+      SELECT g.i, f.kind, f.host, f.mass, g.before FROM fresh f, (SELECT DISTINCT i, before FROM going) g
+      UNION ALL SELECT g.i, e.kind, e.dst, g.mass * {DAMPING} // (100 * total) * n, g.before
+      FROM going g JOIN edges e ON g.kind = e.kind AND g.host = e.src)
+    GROUP BY i, kind, host, before)),
 scores AS (
   SELECT host, CAST(sum(CASE WHEN kind = 'trust' THEN mass ELSE 0 END) AS BIGINT) AS trust,
-    CAST(sum(CASE WHEN kind = 'distrust' THEN mass ELSE 0 END) AS BIGINT) AS distrust FROM m{ROUNDS} GROUP BY host)
+    CAST(sum(CASE WHEN kind = 'distrust' THEN mass ELSE 0 END) AS BIGINT) AS distrust
+  FROM rounds WHERE i = (SELECT max(i) FROM rounds) GROUP BY host)
 SELECT page_id, p.host, path, rule,
   coalesce(ruling, CASE WHEN coalesce(distrust, 0) > {RATIO} * coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict,
   coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust

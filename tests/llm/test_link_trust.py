@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import duckdb
 import pytest
 from oracle import compare, connect
 from pyspark.sql import functions as F
@@ -61,22 +62,23 @@ def test_repeated_rows_and_no_rows(spark):
     assert judged(spark, []) == []
 
 
-def slow(edges, seeds, rounds):
-    out = {}
-    for kind in {k for k, _ in seeds}:
-        total, n = defaultdict(int), sum(v for (k, _), v in seeds.items() if k == kind)
-        for (k, s, _), w in edges.items():
-            total[s] += w * (k == kind)
-        start = {h: link_trust.UNITS // n * v for (k, h), v in seeds.items() if k == kind}
-        mass = dict(start)
-        for _ in range(rounds):
-            new = defaultdict(int, {h: m * 15 // 100 for h, m in start.items()})
+def slow(edges, seeds, settled):
+    """One round after the other; every four rounds the mass of both kinds is compared with four rounds before."""
+    kinds, total = {k for k, _ in seeds}, defaultdict(int)
+    pages = {kind: sum(v for (k, _), v in seeds.items() if k == kind) for kind in kinds}
+    for (k, s, _), w in edges.items():
+        total[k, s] += w
+    fresh = {(k, h): link_trust.UNITS // pages[k] * v * 15 // 100 for (k, h), v in seeds.items()}
+    mass, before = fresh, 0
+    while sum(mass.values()) - before >= link_trust.UNITS // settled:
+        before = sum(mass.values())
+        for _ in range(4):
+            new = defaultdict(int, fresh)
             for (k, s, d), w in edges.items():
-                if k == kind and s in mass:
-                    new[d] += mass[s] * 85 // (100 * total[s]) * w
+                if (k, s) in mass:
+                    new[k, d] += mass[k, s] * 85 // (100 * total[k, s]) * w
             mass = new
-        out |= {(kind, h): m for h, m in mass.items()}
-    return out
+    return dict(mass)
 
 
 @pytest.mark.parametrize("hot", [100_000, 2])
@@ -86,8 +88,21 @@ def test_propagation_equals_a_loop(spark, monkeypatch, hot):
     seeds = {("trust", "h1"): 3, ("trust", "h4"): 1, ("distrust", "h8"): 7}
     links = spark.createDataFrame([(*k, n) for k, n in edges.items()], "kind string, src string, dst string, n long")
     start = spark.createDataFrame([(*k, n) for k, n in seeds.items()], "kind string, host string, n long")
-    got = {(r.kind, r.host): r.mass for r in link_trust.propagate(links, start, 6).collect()}
-    assert got == slow(edges, seeds, 6)
+    got = {(r.kind, r.host): r.mass for r in link_trust.propagate(links, start, 100).collect()}
+    assert got == slow(edges, seeds, 100)
+
+
+def test_distrust_reaches_far_hosts(spark, tmp_path):
+    """A chain of 22 pages that ends at a blocked host: all of them are blocked, in the SQL too."""
+    rows = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">') for i in range(21)]
+    rows += [(21, "http://h21.net/", '<a href="http://example.org/es/">'), (22, "http://example.org/es/", "")]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    got = link_trust.judge(pages)
+    assert {r.page_id: r.verdict for r in got.collect()} == {i: "block" for i in range(23)}
+    assert compare(got, con, link_trust.SQL) == ""
 
 
 def test_query_equals_its_sql(spark):
