@@ -20,11 +20,14 @@ from plumbline.functions.sentiment import (
     QUESTIONS_CAPPED,
     STRONGER,
     WEAKER,
+    add_sentiment,
     base_valence,
     sentiment,
 )
-from plumbline.functions.text import tokens
+from plumbline.functions.text import text_stats, tokens
+from plumbline.operators.cleaning import flag_exact_duplicates
 from plumbline.operators.near_duplicates import max_sibling_similarity
+from plumbline.operators.profile import contrasts
 from plumbline.operators.vectors import (
     bag_of_words,
     cluster_top_terms,
@@ -34,7 +37,7 @@ from plumbline.operators.vectors import (
     tfidf,
     top_terms,
 )
-from plumbline.plans.catalog.behavior import burst_sql, product_sql, reviewer_sql
+from plumbline.plans.catalog.behavior import PROXY_SQL, burst_sql, product_sql, reviewer_sql
 from plumbline.plans.catalog.cleaning import STOP_SQL, TEXT_STATS_SQL, TOKENS_SQL
 from plumbline.plans.catalog.registry import docs_sql, query, r6, with_micros
 from plumbline.plans.features import build_feature_table
@@ -230,6 +233,23 @@ def sentiment_query(spark, folder):
     return sentiment(reviews_docs(spark, folder), table_lexicon(spark, folder))
 
 
+@query(
+    "eda_contrasts_sentiment",
+    docs_sql(
+        f"""{SENTIMENT_SQL}, {TEXT_STATS_SQL}, d AS (SELECT r.*, word_count, sentiment_compound,
+            count(*) OVER (PARTITION BY product_id, review_text) > 1 AS dup
+            FROM reviews_docs r JOIN text_stats ON review_id = CAST(doc_id AS VARCHAR) JOIN feelings USING (review_id))
+          SELECT {PROXY_SQL} AS proxy, quantile_cont(word_count, 0.5) AS median_words,
+            round(avg(sentiment_compound), 6) AS mean_sentiment, count(*) FILTER (WHERE dup) AS n_exact_duplicates
+          FROM d GROUP BY 1"""
+    ),
+)
+def eda_contrasts_sentiment(spark, folder):
+    """Median words, mean lexicon sentiment and exact copies on the sides of the proxy label."""
+    scored = add_sentiment(flag_exact_duplicates(reviews_docs(spark, folder)), table_lexicon(spark, folder))
+    return contrasts(scored.withColumns(text_stats("review_text"))).withColumn("mean_sentiment", F.round("mean_sentiment", 6))
+
+
 # -- near-duplicates ---------------------------------------------------------
 
 
