@@ -27,6 +27,20 @@ def test_clean_text(spark, raw, expected):
     assert df.select(clean_text("t")).first()[0] == expected
 
 
+@pytest.mark.parametrize(
+    "raw, expected",
+    [
+        ("of&amp;&amp;&amp<b>x</b>", "of&&&amp x"),
+        ("?a=1&copy=2&quo", "?a=1&copy=2&quo"),
+        ("&eacute;&#233;&#xE9; &none; &#;", "ééé &none; &#;"),
+        ("&amp;quot;", "&quot;"),
+    ],
+)
+def test_entities_end_with_a_semicolon(spark, raw, expected):
+    df = spark.createDataFrame([(raw,)], "t string")
+    assert df.select(clean_text("t")).first()[0] == expected
+
+
 def test_clean_text_lowercase(spark):
     df = spark.createDataFrame([("Loud TEXT",)], "t string")
     assert df.select(clean_text("t", lowercase=True)).first()[0] == "loud text"
