@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import by_id
 from pyspark.sql import functions as F
@@ -17,9 +18,11 @@ from plumbline.operators.behavior import (
 from plumbline.operators.identity import with_row_id
 from plumbline.operators.matrix import design_matrix, matrix_columns
 from plumbline.operators.near_duplicates import (
+    _block_comparison,
     add_near_duplicate_features,
     bounded_searches,
     candidate_pairs,
+    dealt,
     first_partners,
     max_sibling_similarity,
 )
@@ -151,6 +154,33 @@ def test_near_duplicates_by_bounds(spark, candidates):
     assert got == pytest.approx(expected, abs=1e-9)
 
 
+@pytest.mark.parametrize("sizes", [(1500, 1100), (2100, 0)])
+def test_block_comparison_in_strips(sizes):
+    rng, n = np.random.default_rng(5), sum(sizes)
+    dense = np.where(rng.random((n, 60)) < np.linspace(0.6, 0.001, 60), rng.random((n, 60)), 0) + np.eye(n, 60)
+    block = np.repeat([0, 1], sizes)
+    rows = pd.DataFrame({"g": "g", "s1": range(n), "s2": 0, "block": block, "block_lo": 0, "block_hi": block.max()})
+    rows["terms"] = [np.flatnonzero(x) for x in dense]
+    rows["weights"] = [x[x > 0] for x in dense]
+    got = _block_comparison()(rows.sample(frac=1, random_state=2)).sort_values("s1")["best"].to_numpy()
+    sims = dense @ dense.T
+    if sizes[1]:
+        sims[block[:, None] == block] = 0
+    np.fill_diagonal(sims, 0)
+    assert got == pytest.approx(sims.max(axis=1), abs=1e-9)
+
+
+def test_rows_are_sent_to_few_tasks(spark):
+    def sent(n, block_rows):
+        rows = [("g", i, 0, True, [1], [1.0]) for i in range(n)]
+        schema = "g string, s1 long, s2 long, dense boolean, terms array<long>, weights array<double>"
+        return dealt(spark.createDataFrame(rows, schema), block_rows, 10**6).count() / n
+
+    assert sent(30, 8) == 4
+    assert sent(500, 8) == 4
+    assert sent(4000, 8) == 32
+
+
 def test_candidates_of_a_hot_group_grow_with_its_rows(spark):
     """Families of near copies in one group: pairs met through the index stay a few for each row."""
 
