@@ -87,6 +87,21 @@ def test_recall_against_brute_force(spark):
         assert gone <= wanted and len(gone) >= least * len(wanted)
 
 
+def test_stage_misses_nothing_that_leaders_leave_apart(spark, monkeypatch):
+    """All texts share one bucket and no fingerprints are close: three leaders would find three of the pairs."""
+    real, docs = near_copies.signatures, {}
+
+    def one_bucket(rows):
+        return real(rows).withColumns({"bands": F.array(F.lit(7).cast("long")), "fingerprint": F.xxhash64("key")})
+
+    monkeypatch.setattr(near_copies, "signatures", one_bucket)
+    monkeypatch.setattr(near_copies, "BLOCK_CLASSES", 7)
+    for k in range(15):
+        own = words(500 + k, 60)
+        docs |= {2 * k: " ".join(own), 2 * k + 1: " ".join(changed(own, {30}))}
+    assert stage(spark, docs) == kept_ids(docs) == set(range(0, 30, 2))
+
+
 def test_work_grows_with_the_group(spark, monkeypatch):
     """Pairs compared in a group of variants whose similarity to each other is below the threshold."""
     compared, real = [], near_copies._confirmed
