@@ -37,9 +37,11 @@ from plumbline.session import written_table
 
 SIZE = 2048
 END = 0
-WORDS = 800_000
+WORDS = 200_000
 BUCKET_ROWS = 50_000
 _GROUP = 4 << 20
+# Texts of a batch are copied and encoded this many at a time.
+_ROWS = 500
 _SPACE = re.compile(rb"[ \t-\r]")
 # Lead bytes of combining marks that letters A-Z compose with.
 _MARKS = re.compile(rb"[\xcc\xcd]")
@@ -137,7 +139,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
     end = np.array([END], "<u4").tobytes()
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
             rows = []
             for key, ids in zip(batch.column("doc_id").to_pylist(), encode(texts_of(batch, "text"), tokenizer)):
                 ids += end
