@@ -102,6 +102,18 @@ def test_stage_misses_nothing_that_leaders_leave_apart(spark, monkeypatch):
     assert stage(spark, docs) == kept_ids(docs) == set(range(0, 30, 2))
 
 
+def test_a_common_passage_brings_no_pairs(spark):
+    """80 texts of one bucket share most of their runs, yet only those that may be similar meet."""
+    passage, docs = words(40, 64), {}
+    for k in range(80):
+        docs[k] = " ".join(passage + words(600 + k, 14 + k % 9))
+    docs |= {80: docs[0] + " end", 81: " ".join(changed(docs[5].split(), {70}))}
+    texts = spark.createDataFrame(list(docs.items()), "key long, text string")
+    members = texts.select(F.lit(7).cast("long").alias("bucket"), "key")
+    met = near_copies._apart_in_buckets(members, spark.createDataFrame([], "key long, label long"), texts).collect()
+    assert {frozenset(r) for r in met} == {frozenset((0, 80)), frozenset((5, 81))}
+
+
 def test_work_grows_with_the_group(spark, monkeypatch):
     """Pairs compared in a group of variants whose similarity to each other is below the threshold."""
     compared, real = [], near_copies._confirmed
