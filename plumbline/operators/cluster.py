@@ -109,8 +109,9 @@ def svd_embed(
     counts = term_counts(df, id_col, text_col, stop_words=stop_words)
     kept = vocabulary(counts, n_docs, 1, 1.0, max_features)
     idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
-    vocab = kept.select("term", idf.alias("idf")).orderBy("term").collect()
+    vocab = kept.select("term", "df", idf.alias("idf")).orderBy("term").collect()
     names = [r["term"] for r in vocab]
+    known = df.sparkSession.createDataFrame([(r["term"], r["df"]) for r in vocab], "term string, df long")
 
     listed = df.select(
         id_col, ngrams(drop_stop_words(tokens(text_col), stop_words)).alias("terms")
@@ -124,6 +125,8 @@ def svd_embed(
     vectors = unit.transform(scaler.transform(counter.transform(listed))).select("w")
     rank = max(2, min(components, len(names) - 1, df.count() - 1))
     # The factorisation passes over the rows many times, so they are kept at hand.
+    # Every partition sends a square of the vocabulary, so there are no more than cores.
+    vectors = vectors.coalesce(df.sparkSession.sparkContext.defaultParallelism)
     rows = MLUtils.convertVectorColumnsFromML(vectors, "w").persist(StorageLevel.MEMORY_AND_DISK)
     svd = RowMatrix(rows).computeSVD(rank)
     rows.unpersist()
@@ -136,7 +139,7 @@ def svd_embed(
         [(t, [float(x) for x in row]) for t, row in zip(names, loadings)],
         "term string, v array<double>",
     )
-    weights = tfidf(df, id_col, text_col, 1, 1.0, max_features, stop_words=stop_words)
+    weights = tfidf(df, id_col, text_col, 1, 1.0, max_features, stop_words=stop_words, kept=known)
     sums = [F.sum(F.col("weight") * F.col("v")[i]).alias(f"s{i}") for i in range(rank)]
     placed = weights.join(F.broadcast(table), "term").groupBy(id_col).agg(*sums)
     zeros = F.array(*[F.lit(0.0)] * rank)

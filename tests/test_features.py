@@ -235,6 +235,15 @@ def test_tfidf_rows_have_length_one(cleaned):
     assert all(r["l"] == pytest.approx(1.0) for r in lengths)
 
 
+def test_terms_are_counted_inside_their_document(spark):
+    """Repeated ids count as one document, empty ones have no terms, and no task holds a table of all its terms."""
+    rows = [("a", "red kite red kite"), ("b", ""), ("c", None), ("a", "red"), ("d", "kite")]
+    counts = term_counts(spark.createDataFrame(rows, "review_id string, review_text string"))
+    found = {(r.review_id, r.term): r.tf for r in counts.collect()}
+    assert found == {("a", "red"): 3, ("a", "kite"): 2, ("a", "red kite"): 2, ("a", "kite red"): 1, ("d", "kite"): 1}
+    assert " HashAggregate(keys=[review_id" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_copies_under_one_id_stay_single_rows(spark):
     rows = [("same", "p", "u", f"words of text {i // 2}", i % 2) for i in range(6)] + [("other", "p", "v", "else", 1)]
     df = spark.createDataFrame(rows, "review_id string, product_id string, reviewer_id string, review_text string, y int")
