@@ -8,6 +8,7 @@ from conftest import by_id
 from pyspark.sql import functions as F
 
 from plumbline.functions.sentiment import add_sentiment
+from plumbline.operators import identity, near_duplicates
 from plumbline.operators.behavior import (
     add_burst_features,
     add_helpful_ratio,
@@ -29,7 +30,9 @@ from plumbline.operators.near_duplicates import (
 from plumbline.operators.ordering import hash_positions, quantiles
 from plumbline.operators.sampling import sample_rows, stratified_folds, stratified_split
 from plumbline.operators.vectors import term_counts, tfidf
+from plumbline.plans.catalog import QUERIES, graphs, texts as texts_catalog
 from plumbline.plans.features import build_feature_table
+from plumbline.session import written_table
 
 
 def test_sentiment_signs(cleaned):
@@ -215,6 +218,41 @@ def test_candidates_of_a_hot_group_grow_with_its_rows(spark):
     assert large[2] <= large[1]
 
 
+def test_terms_meet_their_frequencies_once_a_block(spark, monkeypatch):
+    """The terms of 64 texts of 12 words each are joined once for each block, not once for each text."""
+    rng, stored = random.Random(9), {}
+    texts = [" ".join(rng.sample([f"w{i}" for i in range(20)], 12)) for _ in range(64)]
+    df = spark.createDataFrame([(i, "g", t) for i, t in enumerate(texts)], "review_id long, product_id string, review_text string")
+
+    def kept(df, name):
+        stored[name] = written_table(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(near_duplicates, "written_table", kept)
+    got = by_id(max_sibling_similarity(df, block_rows=16), "max_intra_product_similarity")
+    assert got == pytest.approx(brute_force({"g": list(enumerate(texts))}), abs=1e-9)
+    n_blocks = stored["bags"].select("block").distinct().count()
+    assert 1 < n_blocks and stored["held"].count() <= 20 * n_blocks < 64 * 12
+    assert stored["held"].agg(F.sum("copies")).first()[0] == 64 * 12
+
+
+def test_texts_are_stored_once(spark, monkeypatch):
+    """Suspicious products and the feature table number the rows they read, and store no other copy."""
+    names = []
+
+    def kept(df, name):
+        if "review_text" in df.columns:
+            names.append(name)
+        return written_table(df, name)
+
+    for module in (graphs, identity, texts_catalog):
+        monkeypatch.setattr(module, "written_table", kept, raising=False)
+    for query in ("suspicious_products", "feature_table"):
+        QUERIES[query](spark, "/root/testdata/sf0.001")
+        assert names == ["rows"], query
+        names.clear()
+
+
 def test_feature_table_and_matrix(cleaned):
     table = build_feature_table(cleaned).cache()
     assert table.count() == 9
