@@ -30,7 +30,7 @@ from plumbline.operators.near_duplicates import (
 from plumbline.operators.ordering import hash_positions, quantiles
 from plumbline.operators.sampling import sample_rows, stratified_folds, stratified_split
 from plumbline.operators.vectors import term_counts, tfidf
-from plumbline.plans.catalog import QUERIES, graphs, texts as texts_catalog
+from plumbline.plans.catalog import QUERIES, behavior as behavior_catalog, graphs, texts as texts_catalog
 from plumbline.plans.features import build_feature_table
 from plumbline.session import written_table
 
@@ -318,3 +318,17 @@ def test_samples_and_splits(spark):
     }
     places = sorted(r["position"] for r in hash_positions(df, "id", 7, []).collect())
     assert places == list(range(1, 1001))
+
+
+def test_contrasts_read_the_reviews_few_times(spark, monkeypatch):
+    """Means and medians read a stored table of four columns, not the joined reviews with their texts."""
+    stored = []
+
+    def kept(df, name):
+        stored.append(df.columns)
+        return written_table(df, name)
+
+    monkeypatch.setattr(behavior_catalog, "written_table", kept, raising=False)
+    out = QUERIES["eda_contrasts"](spark, "/root/testdata/sf0.001")
+    assert stored == [["verified_purchase", "word_count", "sentiment_compound", "is_exact_duplicate"]]
+    assert "documents.parquet" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 3
