@@ -131,7 +131,8 @@ def burst_max(spark, folder):
     ),
 )
 def burst_features(spark, folder):
-    return add_burst_features(reviews_items(spark, folder)).select(
+    items = reviews_items(spark, folder).select("review_id", "reviewer_id", "product_id", "review_date")
+    return add_burst_features(items).select(
         "review_id", "reviewer_burst_max", "product_burst_max"
     )
 

@@ -33,6 +33,7 @@ from plumbline.operators.vectors import term_counts, tfidf
 from plumbline.plans.catalog import QUERIES, behavior as behavior_catalog, graphs, texts as texts_catalog
 from plumbline.plans.features import build_feature_table
 from plumbline.session import written_table
+from plumbline.sources.tables import table
 
 
 def test_sentiment_signs(cleaned):
@@ -332,3 +333,10 @@ def test_contrasts_read_the_reviews_few_times(spark, monkeypatch):
     out = QUERIES["eda_contrasts"](spark, "/root/testdata/sf0.001")
     assert stored == [["verified_purchase", "word_count", "sentiment_compound", "is_exact_duplicate"]]
     assert "documents.parquet" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 3
+
+
+def test_bursts_join_order_lines_once(spark):
+    """Peaks, counts and rows read one stored table; the join of lines and orders is not run for each of them."""
+    out = QUERIES["burst_features"](spark, "/root/testdata/sf0.001")
+    assert "lineitem.parquet" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == table(spark, "/root/testdata/sf0.001", "lineitem").count()
