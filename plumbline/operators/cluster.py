@@ -18,10 +18,9 @@ from plumbline.functions.text import STOP_WORDS, drop_stop_words, ngrams, tokens
 from plumbline.operators.matrix import standard_scale, with_vector
 from plumbline.operators.vectors import (
     cluster_top_terms,
-    document_count,
-    term_counts,
+    document_words,
+    frequent_terms,
     tfidf,
-    vocabulary,
 )
 from plumbline.session import written_table
 
@@ -105,10 +104,10 @@ def svd_embed(
     factorises it. Rows are projected by a join with the loadings, broadcast
     because at most ``max_features`` rows of them exist.
     """
-    n_docs = document_count(df)
-    counts = term_counts(df, id_col, text_col, stop_words=stop_words)
-    kept = vocabulary(counts, n_docs, 1, 1.0, max_features)
-    idf = F.log((1 + n_docs) / (1 + F.col("df"))) + 1
+    n_docs = df.count()
+    words = document_words(df, id_col, text_col, stop_words, n_docs)
+    kept = frequent_terms(words, n_docs, 1, 1.0, max_features)
+    idf = F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1
     vocab = kept.select("term", "df", idf.alias("idf")).orderBy("term").collect()
     names = [r["term"] for r in vocab]
     known = df.sparkSession.createDataFrame([(r["term"], r["df"]) for r in vocab], "term string, df long")
@@ -123,7 +122,7 @@ def svd_embed(
     )
     unit = Normalizer(p=2.0, inputCol="raw", outputCol="w")
     vectors = unit.transform(scaler.transform(counter.transform(listed))).select("w")
-    rank = max(2, min(components, len(names) - 1, df.count() - 1))
+    rank = max(2, min(components, len(names) - 1, n_docs - 1))
     # The factorisation passes over the rows many times, so they are kept at hand.
     # Every partition sends a square of the vocabulary, so there are no more than cores.
     vectors = vectors.coalesce(df.sparkSession.sparkContext.defaultParallelism)
@@ -139,7 +138,7 @@ def svd_embed(
         [(t, [float(x) for x in row]) for t, row in zip(names, loadings)],
         "term string, v array<double>",
     )
-    weights = tfidf(df, id_col, text_col, 1, 1.0, max_features, stop_words=stop_words, kept=known)
+    weights = tfidf(df, id_col, text_col, 1, 1.0, max_features, stop_words=stop_words, kept=known, words=words)
     sums = [F.sum(F.col("weight") * F.col("v")[i]).alias(f"s{i}") for i in range(rank)]
     placed = weights.join(F.broadcast(table), "term").groupBy(id_col).agg(*sums)
     zeros = F.array(*[F.lit(0.0)] * rank)
