@@ -64,3 +64,10 @@ def test_bounded_weights_shuffle_and_sort_no_terms(spark, monkeypatch):
     )
     salted = {(r.review_id, r.term): r.weight for r in tfidf(df, max_features=None, kept=kept).collect()}
     assert bounded == pytest.approx(salted) and len(bounded) > 100
+
+
+def test_weights_by_document_are_the_same(spark):
+    df, _ = _texts(spark)
+    rows = {(r.review_id, r.term, r.weight) for r in tfidf(df, min_df=2).collect()}
+    listed = tfidf(df, min_df=2, by_document=True)
+    assert {(r.review_id, *w) for r in listed.collect() for w in r.weights} == rows and listed.where("size(weights) = 0").isEmpty()
