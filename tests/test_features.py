@@ -340,3 +340,23 @@ def test_bursts_join_order_lines_once(spark):
     out = QUERIES["burst_features"](spark, "/root/testdata/sf0.001")
     assert "lineitem.parquet" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.count() == table(spark, "/root/testdata/sf0.001", "lineitem").count()
+
+
+def test_rows_sent_to_several_tasks_travel_packed(spark):
+    """Packed rows come back with the same weights, in a fraction of their bytes."""
+    rng, n = np.random.default_rng(8), 300
+    terms = [np.sort(rng.choice(500, 120, replace=False)) * 2**40 for _ in range(n)]
+    dfs = (np.arange(500) + 1) * 3
+    tfs = [rng.integers(1, 4, 120) for _ in terms]
+    raw = near_duplicates._raw()
+    weights = [raw(t, 9000, dfs[w // 2**40]) for t, w in zip(tfs, terms)]
+    norms = np.array([np.sqrt((w * w).sum()) for w in weights])
+    rows = pd.DataFrame({"g": "g", "s1": range(n), "s2": range(n), "n_rows": 9000, "norm": norms, "block": 1, "met": 3})
+    rows["terms"], rows["tfs"], rows["dfs"] = terms, tfs, [dfs[w // 2**40] for w in terms]
+    pack, unpacked = near_duplicates._packing()
+    (packs,) = pack([rows])
+    assert len(packs) == 1 and sum(len(v) for v in packs.iloc[0] if isinstance(v, bytes)) < sum(w.nbytes * 2 for w in weights) / 3
+    back = unpacked(packs.assign(block_lo=0, block_hi=1))
+    assert back["s1"].tolist() == list(range(n))
+    assert all((a == b).all() for a, b in zip(back["terms"], terms))
+    assert all((a == b / m).all() for a, b, m in zip(back["weights"], weights, norms))
