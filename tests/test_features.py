@@ -8,13 +8,14 @@ from conftest import by_id
 from pyspark.sql import functions as F
 
 from plumbline.functions.sentiment import add_sentiment
-from plumbline.operators import identity, near_duplicates
+from plumbline.operators import behavior, identity, near_duplicates
 from plumbline.operators.behavior import (
     add_burst_features,
     add_helpful_ratio,
     add_product_features,
     add_reviewer_features,
     burst_peak,
+    product_stats,
 )
 from plumbline.operators.identity import with_row_id
 from plumbline.operators.matrix import design_matrix, matrix_columns
@@ -360,3 +361,22 @@ def test_rows_sent_to_several_tasks_travel_packed(spark):
     assert back["s1"].tolist() == list(range(n))
     assert all((a == b).all() for a, b in zip(back["terms"], terms))
     assert all((a == b / m).all() for a, b, m in zip(back["weights"], weights, norms))
+
+
+def test_products_are_dealt_before_they_are_summed_up(spark, monkeypatch):
+    """No task sums up the products of more rows than it may, also where one product has most rows."""
+    rows = [(f"r{i}", str(i % 50 if i % 3 else 7), float(i % 5), i % 2 == 0) for i in range(600)]
+    df = spark.createDataFrame(rows, "review_id string, product_id string, rating double, verified_purchase boolean")
+    held = []
+
+    def summed(dealt):
+        held.extend(r["n"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+        return product_stats(dealt)
+
+    monkeypatch.setattr(behavior, "ROWS_PER_TASK", 60)
+    monkeypatch.setattr(behavior, "product_stats", summed)
+    out = add_product_features(df, hot_rows=50)
+    assert out.rdd.getNumPartitions() == 10
+    got = by_id(out, "product_review_count")
+    assert len(held) > 5 and max(held) < 200
+    assert got == {r: sum(p == q for _, q, _, _ in rows) for r, p, _, _ in rows}
