@@ -1,5 +1,7 @@
 import math
+import os
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -380,3 +382,61 @@ def test_products_are_dealt_before_they_are_summed_up(spark, monkeypatch):
     got = by_id(out, "product_review_count")
     assert len(held) > 5 and max(held) < 200
     assert got == {r: sum(p == q for _, q, _, _ in rows) for r, p, _, _ in rows}
+
+
+def _grouped_texts(spark, n=64):
+    rng = random.Random(9)
+    texts = [" ".join(rng.sample([f"w{i}" for i in range(20)], 12)) for _ in range(n)]
+    rows = [(i, "g", t) for i, t in enumerate(texts)]
+    return texts, spark.createDataFrame(rows, "review_id long, product_id string, review_text string")
+
+
+def test_terms_are_deleted_when_nothing_reads_them(spark, monkeypatch):
+    """Once similarities are known no table with terms of texts is left, also where rows meet all of their group."""
+    texts, df = _grouped_texts(spark)
+    stored = []
+
+    def kept(df, name):
+        stored.append((name, written_table(df, name)))
+        return stored[-1][1]
+
+    monkeypatch.setattr(near_duplicates, "written_table", kept)
+    out = max_sibling_similarity(df, block_rows=8, candidates=1)
+    left = [name for name, t in stored if "terms" in t.columns or "known" in t.columns if os.path.exists(_folder(t))]
+    assert left == [] and {"terms", "blocks", "vectors", "packs"} <= {name for name, _ in stored}
+    assert by_id(out, "max_intra_product_similarity") == pytest.approx(brute_force({"g": list(enumerate(texts))}), abs=1e-9)
+
+
+def _folder(stored):
+    return os.path.dirname(stored.inputFiles()[0]).removeprefix("file://")
+
+
+def test_packs_are_sent_in_turns(spark, monkeypatch):
+    """No turn sends a pack to more than a few blocks, and all turns together compare all of the group."""
+    texts, df = _grouped_texts(spark)
+    stored = []
+
+    def kept(df, name):
+        stored.append(name)
+        return written_table(df, name)
+
+    monkeypatch.setattr(near_duplicates, "written_table", kept)
+    monkeypatch.setattr(near_duplicates, "_AT_ONCE", 1)
+    out = max_sibling_similarity(df, block_rows=8, candidates=1)
+    assert stored.count("met") >= 4
+    assert by_id(out, "max_intra_product_similarity") == pytest.approx(brute_force({"g": list(enumerate(texts))}), abs=1e-9)
+
+
+def test_shuffles_are_deleted_when_a_table_stands(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    stored = written_table(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left and stored.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
